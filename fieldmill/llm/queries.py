@@ -6,14 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, spotsigs, warc
+from . import bpe, packing, quality_rules, spotsigs, token_counts, warc
 from .common import read, shared_dir
 
 
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file, which every machine has at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), digests=True)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -28,7 +47,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": op2_token_counts,
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_bpe": op5_bpe,
+        "op7_packing": op7_packing,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
     }
