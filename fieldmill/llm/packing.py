@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .common import slices, staged
 
 #: White space as the tokenizer's pattern has it.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = "doc_id long, doc_row long, piece int, start long, length long, ids_crc32 long"
 
 
