@@ -120,3 +120,32 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
 def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end), alike for equal bytes wherever they stand."""
     return (h[end] - h[start]) * powers(len(h))[1][start]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with key, a number that orders rows as doc_id does and tells all rows apart.
+
+    key is doc_id itself where that is unique and never null (then this costs one narrow shuffle of ids). Otherwise
+    the rows are written once, ordered by doc_id (null first) and text, and numbered.
+    """
+    ids = docs.groupBy(F.col("doc_id").alias("id")).count().filter("count > 1 or id is null")
+    if ids.isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    ordered = docs.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    return staged(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+def compressed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns named and z, the text's bytes compressed, for shuffles that carry whole texts."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for batch in slices(batches, "text", 1 << 22):
+            z = pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), z], [*columns, "z"])
+
+    return docs.select(*columns, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "z binary"]))
