@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import Memory, mix, slices
 
 #: Fixed values of the byte-level format: the pattern of words, and the bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,15 +288,14 @@ class Lexicon:
 class Coder:
     """Encodes and decodes texts; remembers a bounded number of words."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, remember: int = 300_000):
+    def __init__(self, path: str, lexicon: bytes | None = None, remember: int = 400_000):
         self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
         self.words = regex.compile(PATTERN)
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.bytes_of = {str(i): b for i, b in self.vocabulary.bytes_of.items()}
-        self.known: dict[str, str] = {}
-        self.remember = remember
+        self.known = Memory(remember)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; a special token's string stands for itself wherever it occurs."""
@@ -309,10 +308,8 @@ class Coder:
             at = m.end()
         return out + self.words.findall(text[at:])
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.remember:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+    def learn(self, split: list[list[str]]) -> None:
+        new = self.known.missing(*split)
         raw = [w.encode() for w in new]
         at = self.lexicon.find(raw).tolist() if self.lexicon and raw else [-1] * len(raw)
         special = self.vocabulary.special
@@ -324,7 +321,7 @@ class Coder:
     def encode(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by commas."""
         split = [self.split(t) for t in texts]
-        self.learn({w for words in split for w in words})
+        self.learn(split)
         return [",".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, ids: str) -> str:

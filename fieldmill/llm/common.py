@@ -86,6 +86,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
                 yield batch.slice(a, b - a)
 
 
+class Memory(dict):
+    """A bounded memory of computed values: when it is full, values that weren't used since the last time it was are dropped."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, *groups: list[str]) -> list[str]:
+        """The keys among groups without a value; all others have theirs here afterwards."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for k in [k for k in set().union(*groups) if k not in self]:
+            value = self.old.get(k)
+            if value is None:
+                new.append(k)
+            else:
+                self[k] = value
+        return new
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads the bits of h (uint64) over the whole word."""
     h = h ^ (h >> np.uint64(33))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, staged
+from .common import Memory, slices, staged
 
 #: White space as the tokenizer's pattern has it.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,24 +38,22 @@ class WordEncoder:
     That is exact for tokenizers that drop white space and whose normalization doesn't reach across it.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words = re.compile(f"[^{SPACES}]+")
-        self.remember = remember
-        self.known: dict[str, bytes] = {}
+        self.other = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space as well
+        self.known = Memory(remember)
+
+    def split(self, text: str) -> list[str]:
+        return self.words.findall(text) if self.other.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(t) for t in texts]
-        new = list({w for words in split for w in words}.difference(self.known))
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        split = [self.split(t) for t in texts]
+        new = self.known.missing(*split)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

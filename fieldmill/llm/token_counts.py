@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Memory, slices
 
 SPACE = "▁"  # stands for a space in the model's pieces
 
@@ -41,7 +41,7 @@ class PrefixCounter:
         else:
             self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.remember = remember
-        self.total: dict[str, int] = {}
+        self.total = Memory(remember)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def pieces(self, chunk: str) -> list[str]:
@@ -87,13 +87,7 @@ class PrefixCounter:
         return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def counts(self, chunks: list[str]) -> list[int]:
-        try:
-            return list(map(self.total.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(self.total) > self.remember:
-            self.total.clear()
-        for c in set(chunks).difference(self.total):
+        for c in self.total.missing(chunks):
             self.total[c] = self.table(c)[-1]
         return list(map(self.total.__getitem__, chunks))
 
