@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, spotsigs, token_counts, warc
+from . import bpe, ngram_join, packing, quality_rank, quality_rules, spotsigs, suffix_dedup, token_counts, toxicity, warc
 from .common import read, shared_dir
 
 
@@ -17,10 +17,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"), width=4, percent=85).drop("key")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"), window=100).drop("kept")
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -29,6 +37,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), digests=True)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(quality_rank.fold("doc_id", 5) != 0), label="toxic")
+    return toxicity.score(docs, model).withColumn("held_out", quality_rank.fold("doc_id", 5) == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -45,15 +59,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, folder).drop("uri")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality_rank.fit(docs, labels.filter(quality_rank.fold("doc_id", 3) != 1), label="quality")
+    return quality_rank.score(docs, model).withColumn("held_out", quality_rank.fold("doc_id", 3) == 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_token_counts": op2_token_counts,
-        "op4_document_fingerprints": op4_document_fingerprints,
-        "op5_bpe": op5_bpe,
-        "op7_packing": op7_packing,
-        "op8_quality_rules": op8_quality_rules,
-        "op9_warc": op9_warc,
-    }
+    found = (
+        op1_ngram_join, op2_token_counts, op3_suffix_dedup, op4_document_fingerprints, op5_bpe,
+        op6_toxicity, op7_packing, op8_quality_rules, op9_warc, op10_quality_classifier,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
