@@ -93,9 +93,9 @@ class Memory(dict):
         super().__init__()
         self.size, self.old = size, {}
 
-    def missing(self, *groups: list[str]) -> list[str]:
-        """The keys among groups without a value; all others have theirs here afterwards."""
-        if len(self) > self.size:
+    def missing(self, *groups: list[str], more: bool = False) -> list[str]:
+        """The keys among groups without a value; all others have theirs here afterwards. With more, the last call's stay too."""
+        if len(self) > self.size and not more:
             self.old = dict(self)
             self.clear()
         new = []

@@ -38,7 +38,7 @@ class WordEncoder:
     That is exact for tokenizers that drop white space and whose normalization doesn't reach across it.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -49,11 +49,24 @@ class WordEncoder:
     def split(self, text: str) -> list[str]:
         return self.words.findall(text) if self.other.search(text) else text.split()
 
+    def parts(self, word: str) -> list[str]:
+        """The word, or if it is made of ASCII letters, its lower case and the full stop or comma after it, which the tokenizer parts as well."""
+        body, mark = (word[:-1], word[-1:]) if word[-1] in ".," else (word, "")
+        if body.isascii() and body.isalpha():
+            return [body.lower(), mark] if mark else [body.lower()]
+        return [word]
+
+    def learn(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
-        new = self.known.missing(*split)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = array("I", e.ids).tobytes()
+        parts = {w: self.parts(w) for w in self.known.missing(*split)}
+        self.learn(self.known.missing(*parts.values(), more=True))
+        for w, (body, *mark) in parts.items():
+            if mark or body != w:
+                self.known[w] = self.known[body] + b"".join(map(self.known.__getitem__, mark))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
