@@ -86,6 +86,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
                 yield batch.slice(a, b - a)
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps for its next tasks: one thing at a time, the last that a task asked for."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def nothing_kept() -> None:
+    """Frees what earlier tasks left in this worker process."""
+    _kept.clear()
+
+
 class Memory(dict):
     """A bounded memory of computed values: when it is full, values that weren't used since the last time it was are dropped."""
 

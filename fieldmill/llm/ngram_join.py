@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, keyed, mix, prefix_hashes, slices, span_hashes, staged, text_bytes
+from .common import SPACE_BYTES, keyed, mix, nothing_kept, prefix_hashes, slices, span_hashes, staged, text_bytes
 
 BUCKETS = 1 << 15  # of the frequency table
 PARTS = 256  # of the suffix filter
 BLOOM_BITS = 1 << 23  # of the filter on documents to verify, whatever their number
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -79,6 +79,7 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
     """How many of all sets' n-grams hash into each bucket; a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         total = np.zeros(BUCKETS, np.int64)
         for batch in slices(batches, "text", CHUNK):
             sets = shingles(*text_bytes(batch.column("text")), width)
@@ -98,6 +99,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         table = shared.value
         for batch in slices(batches, "text", CHUNK):
             sets = shingles(*text_bytes(batch.column("text")), width)
@@ -132,6 +134,7 @@ def shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     ordered = entries.withColumn("chain", chain).repartition("token").sortWithinPartitions("token", "chain", "key").drop("chain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         held = None  # the last row, and whether the row before it has the same token: [columns, before]
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("token", "key", "n", "pos")]
@@ -268,6 +271,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         press, bits = zstandard.ZstdCompressor(level=3), shared.value
         for batch in batches:
             p = batch.column("p").to_numpy()
@@ -279,6 +283,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("key").alias("b"), F.col("z").alias("zb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         undo = zstandard.ZstdDecompressor()
         for batch in slices(batches, "za", CHUNK // 4):
             raw = [undo.decompress(z.as_py()) for c in ("za", "zb") for z in batch.column(c)]

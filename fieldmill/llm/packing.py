@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memory, slices, staged
+from .common import Memory, kept, slices, staged
 
 #: White space as the tokenizer's pattern has it.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -38,7 +38,7 @@ class WordEncoder:
     That is exact for tokenizers that drop white space and whose normalization doesn't reach across it.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -70,14 +70,9 @@ class WordEncoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """A worker's own encoder, kept for its next tasks."""
+    return kept(("packing", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = 4096, end_id: int = 1) -> DataFrame:

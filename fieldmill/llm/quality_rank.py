@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, slices, text_bytes
+from .common import SPACE_BYTES, nothing_kept, slices, text_bytes
 from .ngram_join import shingles
 
 CHUNK = 1 << 20
@@ -106,6 +106,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: tuple[str, ...
     wanted = list(dict.fromkeys([*columns, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         for batch in slices(batches, "text", CHUNK):
             z = (features(*text_bytes(batch.column("text"))) - model["mean"]) / model["scale"]
             s = 1 / (1 + np.exp(-np.clip(z @ (model["w"] if len(model["w"]) > 1 else np.zeros(z.shape[1])) - model["threshold"], -30, 30)))

@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compressed, keyed, mix, powers, prefix_hashes, slices, span_hashes, staged, text_bytes
+from .common import compressed, keyed, mix, nothing_kept, powers, prefix_hashes, slices, span_hashes, staged, text_bytes
 
 BLOCK = 2 << 20  # bytes of text that a task looks at together
 LONG = 6 << 20  # longer documents are cut, with an overlap
@@ -167,6 +167,7 @@ def block_segments(docs: DataFrame, window: int, piece: int) -> DataFrame:
     """Round 1: of each block, one of each kind of segment, and the repeats among its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         for raw, offsets, keys, base in _documents(batches, window):
             start, n, file, inner, h = segments(raw, offsets, window, piece)
             if not len(start):
@@ -339,6 +340,7 @@ def closer(rows: DataFrame, window: int) -> DataFrame:
                 yield at, end - at
                 at = end
 
+        nothing_kept()
         stream, held = Stream(window), None
         for batch in batches:
             one = pa.compute.is_null(batch.column("bytes"))

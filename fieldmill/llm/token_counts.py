@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, slices
+from .common import Memory, kept, slices
 
 SPACE = "▁"  # stands for a space in the model's pieces
 
@@ -115,15 +115,9 @@ class PrefixCounter:
         return max(0, sum(map(len, chunks[:whole])) + inner - 1)
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """A worker's own counter, kept for its next tasks."""
-    if path not in _counters:
-        _counters.clear()
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    return kept(("token counts", path), lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = 4096) -> DataFrame:
