@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, mix, slices
+from .common import Memory, kept, mix, slices, staged
 
 #: Fixed values of the byte-level format: the pattern of words, and the bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -175,16 +175,9 @@ def _find(table: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray) -> np.nda
     return at
 
 
-_coders: dict[tuple, Coder] = {}
-
-
 def coder(path: str, lexicon: bytes | None = None) -> Coder:
-    """A worker's own coder, kept for its next tasks; one at a time."""
-    key = (path, hashlib.sha256(lexicon or b"").digest())
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(path, lexicon)
-    return _coders[key]
+    """A worker's own coder, kept for its next tasks."""
+    return kept(("bpe", path, hashlib.sha256(lexicon or b"").digest()), lambda: Coder(path, lexicon))
 
 
 class Lexicon:
@@ -330,9 +323,10 @@ class Coder:
 
 
 def frequent_words(docs: DataFrame, *, size: int = 100_000) -> list[str]:
-    """The corpus's most frequent words, in the sense of PATTERN, counted over every text; ties go to the smaller word.
+    """The corpus's most frequent words, in the sense of PATTERN, counted over every text.
 
-    Words that occur once in a batch of texts are counted as well; only the size of the lexicon is bounded.
+    Words are taken by levels of their counts, from the most frequent on, as long as whole levels fit into size; words
+    that occur once are none. So the driver gets the words of the lexicon only.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +343,16 @@ def frequent_words(docs: DataFrame, *, size: int = 100_000) -> list[str]:
             yield give()
 
     parts = docs.select("text").mapInArrow(counted, "word string, n long").filter(F.octet_length("word") <= 64)
-    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    counts = staged(parts.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # a few hundred rows
+    total, least = 0, None
+    for r in sizes:
+        total += r.words
+        if total > size:
+            break
+        least = r.level
+    return [] if least is None else sorted(r.word for r in counts.filter(level >= least).select("word").collect())  # size at most
 
 
 def compiled_lexicon(docs: DataFrame, path: str, *, size: int = 100_000) -> bytes:
