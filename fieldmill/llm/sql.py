@@ -26,12 +26,9 @@ SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(roo
 
 def fingerprints(chain: int = 2, floor: float = 0.02) -> str:
     anchors = "[" + ", ".join(map(quoted, ANCHORS)) + "]"
+    words = "list_filter(string_split(replace(regexp_replace(lower(t), '[^\\p{L}\\p{N} \\n]+', '', 'g'), chr(10), ' '), ' '), lambda w: w <> '')"
     size = lambda x: f"floor(ln(len({x})) / {-math.log(floor)!r})"
 
-    def signatures(t: str) -> str:
-        words = f"list_filter(string_split(replace(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}} \\n]+', '', 'g'), chr(10), ' '), ' '), lambda w: w <> '')"
-        return words
-
     def likeness(a: str, b: str) -> str:
         common = f"len(list_intersect({a}, {b}))"
         possible = f"abs({size(a)} - {size(b)}) <= 1 AND least(len({a}), len({b})) >= {floor} * greatest(len({a}), len({b}))"
@@ -39,7 +36,7 @@ def fingerprints(chain: int = 2, floor: float = 0.02) -> str:
 
     spots = (
         f"list_concat(CASE WHEN len(c) > 0 THEN [array_to_string(c[1:{chain}], ' ')] ELSE [] END, "
-        "list_transform(list_filter(list_transform(at, lambda a, k: {'a': a, 'c': a - k + 1}), lambda s: s.c <= len(c)), "
+        "list_transform(list_filter(list_transform(places, lambda a, k: {'a': a, 'c': a - k + 1}), lambda s: s.c <= len(c)), "
         f"lambda s: concat_ws(' ', '@', w[s.a], {', '.join(f'c[s.c + {j}]' for j in range(chain))})))"
     )
     return f"""
@@ -47,8 +44,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 x AS (SELECT doc_id, t, coalesce(lead(t) OVER o, first_value(t) OVER o) AS u FROM d WINDOW o AS (ORDER BY doc_id)),
 e AS (SELECT doc_id, t, left(t, length(t) - length(t) // 4) || left(u, length(t) // 4) AS e FROM x),
 texts AS (SELECT doc_id, 0 AS k, t FROM e UNION ALL SELECT doc_id, 1, e FROM e),
-w AS (SELECT doc_id, k, t, {signatures("t")} AS w FROM texts),
-p AS (SELECT *, list_filter(w, lambda x: NOT list_contains({anchors}, x)) AS c, list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains({anchors}, x) THEN i END), lambda i: i IS NOT NULL) AS at FROM w),
+w AS (SELECT doc_id, k, t, {words} AS w FROM texts),
+p AS (SELECT *, list_filter(w, lambda x: NOT list_contains({anchors}, x)) AS c, list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains({anchors}, x) THEN i END), lambda i: i IS NOT NULL) AS places FROM w),
 f AS (SELECT doc_id, k, t, {spots} AS s FROM p),
 g AS (SELECT doc_id, k, t, list_sort(list_distinct(list_transform(CASE WHEN len(s) > 0 THEN s ELSE ['=' || t] END, lambda x: left(md5(x), 8)))) AS g FROM f),
 b AS (SELECT o.doc_id, o.t, o.g AS own, c.g AS changed, c.t AS e, coalesce(lead(o.g) OVER q, first_value(o.g) OVER q) AS next FROM g o JOIN g c ON o.doc_id = c.doc_id AND o.k = 0 AND c.k = 1 WINDOW q AS (ORDER BY o.doc_id))
