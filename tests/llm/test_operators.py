@@ -318,6 +318,9 @@ def test_disguised_words_are_restored(spark):
     for token, word in [("1d10t", "idiot"), ("w0rthl3ss", "worthless"), ("st*pid", "stupid"), ("l.o.s.e.r", "loser"), ("clooown", "clown"), ("house,", "house"), ("people", "people")]:
         assert own.restore(token) == word, token
     assert "idiot" in toxicity.tokens("you i d i o t there")
+    known = toxicity.Restorer(own.costs, ["zyqxw"])
+    assert known.restore("zy9xw") == "zy9xw" or known.restore("zyqqqxw") == "zyqxw"
+    assert known.restore("z.y.q.x.w") == "zyqxw" and known.restore("people") == "people"
 
 
 # 8
