@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, name: str = "table") -> str:
     """A new path in spark.checkpoint.dir; a local folder only where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-fieldmill-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _local_dirs:
+            _local_dirs[app] = f"file://{tempfile.mkdtemp(prefix='spark-fieldmill-')}"
+        at = _local_dirs[app]
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
