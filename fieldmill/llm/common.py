@@ -29,13 +29,18 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where the session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-fieldmill-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+        app = spark.sparkContext.applicationId
+        if app not in _local_dirs:
+            _local_dirs[app] = f"file://{tempfile.mkdtemp(prefix='spark-fieldmill-')}"
+        at = _local_dirs[app]
+    return at.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
