@@ -333,8 +333,11 @@ def groups(docs: DataFrame, *, width: int = 4, percent: int = 85, most: int = 50
     known = components(first)
     labelled = entries.drop("before").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     second = verified(filtered(across(labelled, percent, most), sets, percent), docs, width, percent)
-    final = components(first.unionByName(second))
-    root = rep.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
+    one, two = (known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    between = second.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = components(between).select(F.col("node").alias("mid"), F.col("root").alias("top"))  # of components, not documents
+    mid = rep.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("mid"))
+    root = mid.join(merged, "mid", "left").select("key", F.coalesce("top", "mid").alias("component"))
     return sets.select("key", F.col("n").alias("n_shingles")).join(root, "key", "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))
 
 
