@@ -1,8 +1,9 @@
 """Toxicity of texts, scored after restoring disguised words.
 
 A noisy channel turns letters into look-alikes, repeats them, or puts spaces and marks between them. A token that
-may have gone through it becomes a lattice of the letters it could stand for, and Viterbi's algorithm finds the
-likeliest word under a character trigram model. The model's counts are taken from every text of the corpus, into a table
+may have gone through it, or a run of single characters, becomes a lattice of the letters it could stand for, in which
+a word may also end at each space or mark, and Viterbi's algorithm finds the likeliest words under a character trigram
+model. The model's counts are taken from every text of the corpus, into a table
 of fixed size. The restored words' weights come from a logistic regression on words and word beginnings that are
 commoner in toxic texts, fitted on at most sample_size labelled rows of each kind (those with the smallest hashes).
 
@@ -37,7 +38,11 @@ for _c, _k in _code.items():
 for _c in " \t\n\r\x0b\x0c":
     _codes[ord(_c)] = 0
 _inside = re.compile(r"[^\W\d_](?:[0-9@$!|+(€*.\-_'~])+[^\W\d_]|(.)\1\1|^[0-9@$!|+(€*]+[^\W\d_]|[^\W\d_][0-9@$|+(€]+$")
-_spaced = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\S)")
+_gap = r"[\s.\-_*'~]"
+_one = r"[^\W_]|[@$!|+(€]"
+_spaced = re.compile(rf"(?<!\S)[{re.escape(EDGE)}]*?((?:{_one})(?:{_gap}++(?:{_one})){{2,}})(?=[{re.escape(EDGE)}]*+(?!\S))")
+_gaps = re.compile(f"{_gap}+")
+_letter = re.compile(r"[^\W\d_]")
 
 
 def trigram_costs(docs: DataFrame) -> np.ndarray:
@@ -71,6 +76,7 @@ class Restorer:
     """
 
     WORD_COST = 8.0
+    END_COST = 1.0
 
     def __init__(self, costs: np.ndarray, lexicon: list[str] | None = None):
         self.costs = costs
@@ -78,7 +84,9 @@ class Restorer:
         self.starts = {w[:k] for w in self.lexicon for k in range(len(w) + 1)}
 
     def restore(self, token: str) -> str:
-        """The likeliest word of a token that looks disguised, else the token without the marks around it."""
+        """The likeliest words of a token that looks disguised or is spaced out, else the token without the marks around it."""
+        if _spaced.fullmatch(token) and _letter.search(token):
+            return self.decode(token)
         bare = token.strip(EDGE)
         if not bare or len(token) > 60:
             return bare
@@ -93,7 +101,7 @@ class Restorer:
         return float(sum(self.costs[c[i], c[i + 1], c[i + 2]] for i in range(len(c) - 2)))
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each stretch of the token what it may stand for, with the channel's cost."""
+        """For each stretch of the token what it may stand for, with the channel's cost; a space is a word's end."""
         out = []
         for m in re.finditer(r"(.)\1*", token, re.S):
             c, n = m[1], len(m[0])
@@ -102,51 +110,86 @@ class Restorer:
                 options.append((c, 1.0 if n > 2 else 3.0))
             options += [(x * k, 1.0 + 0.5 * (k > 1)) for x in LOOKS.get(c, "") for k in {1, min(n, 2)}]
             if c in BETWEEN:
-                options.append(("", 0.7))
+                options += [("", 0.7), (" ", self.END_COST)]
             out.append(options)
         return out
 
+    def spaced_lattice(self, run: str) -> list[list[tuple[str, float]]]:
+        """The lattice of characters that stand one by one: words go on over the run's narrowest gaps rather than over wider ones."""
+        gaps = _gaps.findall(run)
+        narrow = min(map(len, gaps))
+        out = []
+        for k, c in enumerate(_gaps.split(run)):
+            if k:
+                gap = gaps[k - 1]
+                wide = len(gap) > narrow and "*" not in gap
+                looks = [(x, 1.0) for x in LOOKS["*"]] if "*" in gap else []
+                out.append([("", 2.0 if wide else 0.7), (" ", 0.0 if wide else self.END_COST), *looks])
+            out += self.lattice(c)
+        return out
+
     def decode(self, token: str) -> str:
+        """The likeliest words of a token or of a run of single characters, with spaces between them."""
+        return self.likeliest(self.spaced_lattice(token) if _spaced.fullmatch(token) else self.lattice(token))
+
+    def likeliest(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The words of the cheapest path: each either by the character model or from the lexicon.
+
+        A state is the last two letters, or what a lexicon's word begins with; paths are chains, so that time and
+        memory are in proportion to the lattice.
+        """
         costs = self.costs
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, word) in states.items():
-                for text, own in options:
-                    x, y, total = a, b, cost + own
-                    for c in text:
-                        k = _code.get(c, 1)
-                        total += float(costs[x, y, k])
-                        x, y = y, k
-                    if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, word + text)
-            states = after
-        best = min((cost + float(costs[a, b, 0]), word) for (a, b), (cost, word) in states.items())
-        return min([best, *self.lexicon_words(token)])[1]
-
-    def lexicon_words(self, token: str) -> list[tuple[float, str]]:
-        """The lexicon's words that a token may stand for, with their costs."""
-        states = {"": self.WORD_COST}
-        for options in self.lattice(token):
-            after: dict[str, float] = {}
-            for start, cost in states.items():
+        states: dict = {(0, 0): (0.0, None), "": (self.WORD_COST, None)}
+
+        def ended(key, cost: float) -> float | None:
+            if isinstance(key, str):
+                return cost if key in self.lexicon else None
+            return cost + float(costs[key[0], key[1], 0]) if key != (0, 0) else cost
+
+        for options in lattice:
+            after: dict = {}
+            end = None
+            for key, (cost, path) in states.items():
                 for text, own in options:
-                    if (longer := start + text) in self.starts:
-                        after[longer] = min(after.get(longer, 1e9), cost + own)
+                    if text == " ":
+                        total = ended(key, cost + own)
+                        if total is not None and (end is None or total < end[0]):
+                            end = (total, (path, " "))
+                        continue
+                    total, state = cost + own, key
+                    if isinstance(key, str):
+                        if (state := key + text) not in self.starts:
+                            continue
+                    else:
+                        for c in text:
+                            k = _code.get(c, 1)
+                            total += float(costs[state[0], state[1], k])
+                            state = (state[1], k)
+                    if state not in after or total < after[state][0]:
+                        after[state] = (total, (path, text) if text else path)
+            if end:
+                for state, own in (((0, 0), 0.0), ("", self.WORD_COST)):
+                    if state not in after or end[0] + own < after[state][0]:
+                        after[state] = (end[0] + own, end[1])
             states = after
-        return [(cost, word) for word, cost in states.items() if word in self.lexicon]
+        done = [(total, path) for key, (cost, path) in states.items() if (total := ended(key, cost)) is not None]
+        path, parts = min(done, key=lambda x: x[0])[1], []
+        while path:
+            path, text = path
+            parts.append(text)
+        return " ".join("".join(reversed(parts)).split())
 
     def features(self, token: str) -> list[str]:
-        word = self.restore(token)
-        return [word, *(f"{word[:k]}~" for k in (4, 5) if len(word) > k)] if len(word) > 2 else []
+        return [f for word in self.restore(token).split(" ") if len(word) > 2 for f in (word, *(f"{word[:k]}~" for k in (4, 5) if len(word) > k))]
 
 
 def tokens(text: str) -> set[str]:
-    """The distinct tokens of a text in lower case; letters that stand one by one count as one token too."""
+    """The distinct tokens of a text in lower case; characters that stand one by one count as a token too, with their gaps and without."""
     text = text.lower()
     found = set(text.split())
     for m in _spaced.finditer(text):
-        found.add(re.sub(r"[ .\-_*]", "", m[0]))
+        found.add(m[1])
+        found.add(_gaps.sub("", m[1]))
     return found
 
 
@@ -219,8 +262,9 @@ def score(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",))
             for t in batch.column("text").to_pylist():
                 found = tokens(t or "")
                 for k in memory.missing(found):
-                    memory[k] = sum(weights.get(f, 0.0) for f in restorer.features(k))
-                z.append(sum(map(memory.__getitem__, found)))
+                    memory[k] = tuple(f for f in restorer.features(k) if f in weights)
+                telling = {f for k in found for f in memory[k]}  # each once, as in fit
+                z.append(sum(map(weights.__getitem__, sorted(telling))))
             s = 1 / (1 + np.exp(-np.clip(np.array(z) + own["bias"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*columns, "score", "predicted"])
 

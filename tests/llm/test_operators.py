@@ -323,6 +323,18 @@ def test_disguised_words_are_restored(spark):
     assert known.restore("z.y.q.x.w") == "zyqxw" and known.restore("people") == "people"
 
 
+def test_spaced_words_beside_one_letter_words(spark):
+    words = ["what", "a", "you", "idiot", "worthless", "loser", "are", "house", "street", "people", "ass"]
+    rng = random.Random(1)
+    df = table(spark, [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)])
+    own = toxicity.Restorer(toxicity.trigram_costs(df), ["idiot", "loser"])
+    found = lambda text: {f for k in toxicity.tokens(text) for f in own.features(k)}
+    for text in ("what a l o s e r you are", "l o s e r a house", "y o u i d i o t", "i d  i o t", "i . d . i . o . t", "i d i 0 t!", "people (l 0 $ e r)", "a l o s e r a l o s e r"):
+        assert found(text) & {"idiot", "loser"}, text
+    assert {"you", "idiot"} <= found("y o u i d i o t") and "ass" in found("a s s") and "ass" in found("@ s s")
+    assert found("1 2 3 4") == {"1234"} and own.restore("a " * 5000 + "l o s e r").endswith("loser")
+
+
 # 8
 
 
