@@ -37,8 +37,15 @@ for _c, _k in _code.items():
     _codes[ord(_c)] = _k
 for _c in " \t\n\r\x0b\x0c":
     _codes[ord(_c)] = 0
-_inside = re.compile(r"[^\W\d_](?:[0-9@$!|+(€*.\-_'~])+[^\W\d_]|(.)\1\1|^[0-9@$!|+(€*]+[^\W\d_]|[^\W\d_][0-9@$|+(€]+$")
-_gap = r"[\s.\-_*'~]"
+#: What it costs that a look-alike before or after a token's letters is only a mark, less than nothing where that is
+#: the rule; 6 each where it isn't named, but 4 for three or more alike.
+LEADS = {"(": -3.0, "*": 0.0, "@": 1.5, "+": 3.0, "|": 3.0, "$": 4.0, "!": 4.0, "€": 4.0}
+TRAILS = {"!": -3.0, "*": 0.0}
+#: Marks around a token that stand for no letter.
+MARKS = "".join(c for c in EDGE if c not in LOOKS)
+
+_inside = re.compile(rf"[^\W\d_][0-9@$!|+(€*{re.escape(MARKS)}]+[^\W\d_]|(.)\1\1|^[0-9@$!|+(€*]+[^\W\d_]|[^\W\d_][0-9@$!|+(€*]+$")
+_gap = rf"[\s*{re.escape(MARKS)}]"
 _one = r"[^\W_]|[@$!|+(€]"
 _spaced = re.compile(rf"(?<!\S)[{re.escape(EDGE)}]*?((?:{_one})(?:{_gap}++(?:{_one})){{2,}})(?=[{re.escape(EDGE)}]*+(?!\S))")
 _gaps = re.compile(f"{_gap}+")
@@ -77,6 +84,7 @@ class Restorer:
 
     WORD_COST = 8.0
     END_COST = 1.0
+    INNER_COST = 7.0
 
     def __init__(self, costs: np.ndarray, lexicon: list[str] | None = None):
         self.costs = costs
@@ -87,30 +95,32 @@ class Restorer:
         """The likeliest words of a token that looks disguised or is spaced out, else the token without the marks around it."""
         if _spaced.fullmatch(token) and _letter.search(token):
             return self.decode(token)
-        bare = token.strip(EDGE)
-        if not bare or len(token) > 60:
-            return bare
-        if _inside.search(bare):
-            return self.decode(bare)
-        if token != bare and token[0] in LOOKS and _inside.search(token.rstrip(EDGE)):
-            return min((bare, self.decode(token.rstrip(EDGE))), key=self.cost)
-        return bare
-
-    def cost(self, word: str) -> float:
-        c = [0, 0, *(_code.get(x, 1) for x in word), 0]
-        return float(sum(self.costs[c[i], c[i + 1], c[i + 2]] for i in range(len(c) - 2)))
+        core = token.strip(MARKS)
+        return self.decode(core) if _letter.search(core) and _inside.search(core) else token.strip(EDGE)
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """For each stretch of the token what it may stand for, with the channel's cost; a space is a word's end."""
+        letters = [m.start() for m in re.finditer(r"[^\W_]", token)] or [0]
+        first, last = letters[0], letters[-1]
         out = []
         for m in re.finditer(r"(.)\1*", token, re.S):
             c, n = m[1], len(m[0])
             options = [(c * min(n, 2), 0.0 if n < 3 else 1.0)] if c in _code else [(c, 4.0)]
             if c in _code and n > 1:
                 options.append((c, 1.0 if n > 2 else 3.0))
-            options += [(x * k, 1.0 + 0.5 * (k > 1)) for x in LOOKS.get(c, "") for k in {1, min(n, 2)}]
-            if c in BETWEEN:
+            marks = c in LOOKS and not c.isdigit()
+            outside = marks and not first <= m.start() <= last
+            if outside:
+                options = []
+            options += [(x * k, 1.0 if k == n or n > 2 and k == 1 else 1.5 if k > 1 else 4.5) for x in LOOKS.get(c, "") for k in {1, min(n, 2)}]
+            if c in BETWEEN and not outside:
                 options += [("", 0.7), (" ", self.END_COST)]
+            elif c in MARKS:
+                options.append((" ", self.END_COST))
+            elif outside:
+                options.append((" ", (LEADS if m.start() < first else TRAILS).get(c, 6.0 * n if n < 3 else 4.0)))
+            elif marks:
+                options.append((" ", self.INNER_COST))
             out.append(options)
         return out
 
@@ -125,7 +135,7 @@ class Restorer:
                 wide = len(gap) > narrow and "*" not in gap
                 looks = [(x, 1.0) for x in LOOKS["*"]] if "*" in gap else []
                 out.append([("", 2.0 if wide else 0.7), (" ", 0.0 if wide else self.END_COST), *looks])
-            out += self.lattice(c)
+            out += [[x for x in options if x[0] != " "] for options in self.lattice(c)]
         return out
 
     def decode(self, token: str) -> str:

@@ -335,6 +335,20 @@ def test_spaced_words_beside_one_letter_words(spark):
     assert found("1 2 3 4") == {"1234"} and own.restore("a " * 5000 + "l o s e r").endswith("loser")
 
 
+def test_disguised_ends_and_long_tokens_are_restored(spark):
+    words = ["idiot", "ass", "bitches", "loser", "clown", "house", "table", "street", "people", "prices"]
+    rng = random.Random(1)
+    df = table(spark, [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)])
+    own = toxicity.Restorer(toxicity.trigram_costs(df))
+    ends = [("a$$", "ass"), ("a$$.", "ass"), ("idio+", "idiot"), ("idio+!", "idiot"), ("bitche$", "bitches"), ("(house", "house"), ("house!", "house"), ("people!!!***", "people"), ("**clown**", "clown")]
+    for token, word in ends:
+        assert own.restore(token) == word, token
+    for token in ("cl" + "o" * 80 + "wn", "i" + "." * 70 + "diot", "-".join("idiot") + "!" * 60, ".".join(["house", "table"] * 8 + ["idi0t"]), "/".join(["street"] * 12 + ["cl0wn"])):
+        assert set(own.restore(token).split(" ")) & {"clown", "idiot"}, token
+    assert own.restore("i,d,i,o,t") == own.restore("i / d / i / o / t") == "idiot"
+    assert own.restore("i d i o t " * 29 + "i d i o t").split(" ")[:2] == ["idiot", "idiot"]
+
+
 # 8
 
 
