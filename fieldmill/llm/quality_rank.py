@@ -65,6 +65,7 @@ def fold(doc_id: str, n: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample_size: int) -> DataFrame:
     """doc_id, text and label of the labelled documents with the smallest hashes, sample_size at most."""
     one = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
+    one = one.join(docs.select("doc_id"), "doc_id", "left_semi")  # of the documents here
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_size)
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # sample_size bounds it
 

@@ -5,7 +5,8 @@ may have gone through it, or a run of single characters, becomes a lattice of th
 a word may also end at each space or mark, and Viterbi's algorithm finds the likeliest words under a character trigram
 model. The model's counts are taken from every text of the corpus, into a table
 of fixed size. The restored words' weights come from a logistic regression on words and word beginnings that are
-commoner in toxic texts, fitted on at most sample_size labelled rows of each kind (those with the smallest hashes).
+commoner in toxic texts, fitted on at most sample_size labelled documents here of each kind (those with the smallest
+hashes).
 
 Nulls count as empty texts; an empty text has the score of the bias alone. Labels that are null are left out; of
 several labels of one document the least counts. Without both kinds of labels the score is the share of toxic ones.
@@ -209,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size
     costs = trigram_costs(docs)
     shared = spark.sparkContext.broadcast(costs)  # A**3 numbers
     one = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    one = staged(one.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic-labels")  # of the documents here
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     n = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -241,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size
     lists = cells.column("found").to_pylist()
     at = np.array([place[f] for x in lists for f in x], np.int64)
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    prior = np.where(y == 1, n[1] / taken[1], n[0] / taken[0])  # the sample's kinds count as they do among all labels
+    prior = np.where(y == 1, n[1] / taken[1], n[0] / taken[0])  # the sample's kinds count as they do among all labels of documents here
     prior /= prior.mean()
     w, bias = np.zeros(len(names)), 0.0
     speed, speed_b = np.full(len(names), 1e-8), 1e-8

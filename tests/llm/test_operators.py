@@ -310,6 +310,18 @@ def test_classifiers_without_labels(spark, module, label):
     assert module.score(table(spark, []), module.fit(df, none, label=label)).count() == 0
 
 
+@pytest.mark.parametrize("module, label", [(quality_rank, "quality"), (toxicity, "toxic")])
+def test_labels_of_documents_elsewhere_take_no_part(spark, module, label):
+    df, labels, _ = labelled(spark)
+    away = spark.range(10_000, 13_000).selectExpr("id as doc_id", "cast(id % 5 > 0 as int) as quality", "cast(id % 5 > 0 as int) as toxic")
+    own, more = (module.fit(df, x, label=label, sample_size=150) for x in (labels, labels.unionByName(away)))
+    for name in own:
+        assert own[name] == more[name] if name in ("weights", "bias") else np.array_equal(own[name], more[name]), name
+    none = labels.filter(f"{label} = 0").unionByName(away)
+    assert module.score(df, module.fit(df, none, label=label)).filter("score > 0.5").count() == 0
+    assert module.score(table(spark, []), module.fit(table(spark, []), away, label=label)).count() == 0
+
+
 def test_disguised_words_are_restored(spark):
     words = ["idiot", "worthless", "stupid", "loser", "clown", "house", "table", "street", "people"]
     rng = random.Random(1)
