@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: the six ASCII characters.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
+_is_space = np.zeros(256, bool)
+_is_space[list(SPACE_BYTES)] = True
+_low_bytes = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,9 +38,11 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that all executors share; a local one only where the session names none and runs on this machine alone (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_dirs:
             _local_dirs[app] = f"file://{tempfile.mkdtemp(prefix='spark-fieldmill-')}"
@@ -91,13 +98,103 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
                 yield batch.slice(a, b - a)
 
 
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes other than ASCII white space; none reaches across the end of a text."""
+    word = ~_is_space[raw]
+    begins = np.append(True, ~word[:-1])[: len(word)]
+    begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    stops = np.append(begins[1:] | ~word[1:], True)[: len(word)]
+    return np.flatnonzero(begins & word), np.flatnonzero(stops & word) + 1
+
+
+def distinct_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): the place in start of one span of each kind, and the kind of every span.
+
+    Spans of up to 24 bytes are of one kind if they are equal, compared as three numbers and a length; a hash only
+    decides which ones are compared. Longer ones are kinds of their own.
+    """
+    n = end - start
+    padded = np.append(raw, np.zeros(24, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each position on
+    parts = [eight[np.minimum(start + 8 * k, len(raw) + 16)] & _low_bytes[np.clip(n - 8 * k, 0, 8)] for k in range(3)]
+    order = np.argsort(mix(parts[0] + mix(parts[1] + mix(parts[2] + n.astype(np.uint64)))))
+    new = np.append(True, n[order][1:] != n[order][:-1])[: len(n)] | (n[order] > 24)
+    for p in parts:
+        new[1:] |= p[order][1:] != p[order][:-1]
+    which = np.empty(len(n), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def gathered(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[start : start + n] of every span, end to end."""
+    before = np.cumsum(n) - n
+    return values[np.repeat(start - before, n) + np.arange(int(n.sum()))]
+
+
+class Table:
+    """A bounded memory of arrays by word: the words' arrays lie end to end in values, at start with length size.
+
+    When it is full, words that weren't asked for since the last time it was are dropped.
+    """
+
+    def __init__(self, remember: int, kind: str, learn: Callable[[list[bytes]], list[bytes]]):
+        self.remember, self.learn = remember, learn
+        self.known: dict[bytes, int] = {}
+        self.values, self.start, self.size, self.used = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word; learn gives the values of words met for the first time, as bytes."""
+        if len(self.known) > self.remember:
+            self._drop()
+        at = list(map(self.known.get, words))
+        new = list(dict.fromkeys(w for w, k in zip(words, at) if k is None))
+        if new:
+            found = self.learn(new)
+            self.known |= zip(new, range(len(self.start), len(self.start) + len(new)))
+            size = np.fromiter(map(len, found), np.int64, len(found)) // self.values.itemsize
+            self.start = np.concatenate([self.start, len(self.values) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.values = np.concatenate([self.values, np.frombuffer(b"".join(found), self.values.dtype)])
+            self.used = np.concatenate([self.used, np.zeros(len(new), bool)])
+            at = [self.known[w] if k is None else k for w, k in zip(words, at)]
+        at = np.array(at, np.int64)
+        self.used[at] = True
+        return at
+
+    def _drop(self) -> None:
+        keep = np.flatnonzero(self.used)
+        place = np.full(len(self.used), -1)
+        place[keep] = np.arange(len(keep))
+        self.known = {w: k for w, k in zip(self.known, place[list(self.known.values())].tolist()) if k >= 0}
+        self.values = gathered(self.values, self.start[keep], self.size[keep])
+        self.size = self.size[keep]
+        self.start = np.cumsum(self.size) - self.size
+        self.used = np.zeros(len(keep), bool)
+
+    def of_spans(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All spans' values end to end, and how many each span has."""
+        first, which = distinct_spans(raw, start, end)
+        body = raw.tobytes()
+        at = self.places([body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])[which]
+        return gathered(self.values, self.start[at], self.size[at]), self.size[at]
+
+
 _kept: dict = {}
+_libc = ctypes.CDLL(None)
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def kept(key: tuple, make: Callable[[], object]) -> object:
     """What a worker process keeps for its next tasks: one thing at a time, the last that a task asked for."""
     if key not in _kept:
-        _kept.clear()
+        nothing_kept()
         _kept[key] = make()
     return _kept[key]
 
@@ -105,6 +202,7 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
 def nothing_kept() -> None:
     """Frees what earlier tasks left in this worker process."""
     _kept.clear()
+    _give_back()
 
 
 class Memory(dict):

@@ -13,9 +13,9 @@ piece; rows with equal doc_id are separate documents.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,49 +25,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memory, kept, slices, staged
+from .common import SPACE_BYTES, Table, kept, slices, staged, text_bytes, word_spans
 
-#: White space as the tokenizer's pattern has it.
-SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = "doc_id long, doc_row long, piece int, start long, length long, ids_crc32 long"
+BLOCK = 1 << 20  # bytes of text that are encoded together
+#: Plain words, in lower case: the letters of most Latin scripts, digits, and the marks that begin no special token.
+LETTERS, MARKS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f", r"!-,./:;=?@\[-`{}~-"
+
+
+def stretches(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts of about BLOCK bytes, cut at white space."""
+    while len(raw) > 2 * BLOCK:
+        at = next((BLOCK + k + int(s[0]) for k in range(0, len(raw) - BLOCK, BLOCK) if len(s := np.flatnonzero(np.isin(raw[BLOCK + k : 2 * BLOCK + k], list(SPACE_BYTES))))), len(raw))
+        yield raw[:at]
+        raw = raw[at:]
+    yield raw
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit numbers; words between white space are encoded once and remembered.
+    """Token ids of texts; words between ASCII white space are encoded once and remembered.
 
-    That is exact for tokenizers that drop white space and whose normalization doesn't reach across it.
+    That is exact for tokenizers that drop white space and whose normalization doesn't reach across it. Plain words are
+    parted here as the tokenizer's own pattern does it, and parts met for the first time are encoded in one call; the
+    tokens that end a part tell where to cut. All other words go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = re.compile(f"[^{SPACES}]+")
-        self.other = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space as well
-        self.known = Memory(remember)
-
-    def split(self, text: str) -> list[str]:
-        return self.words.findall(text) if self.other.search(text) else text.split()
-
-    def parts(self, word: str) -> list[str]:
-        """The word, or if it is made of ASCII letters, its lower case and the full stop or comma after it, which the tokenizer parts as well."""
-        body, mark = (word[:-1], word[-1:]) if word[-1] in ".," else (word, "")
-        if body.isascii() and body.isalpha():
-            return [body.lower(), mark] if mark else [body.lower()]
-        return [word]
-
-    def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        parts = {w: self.parts(w) for w in self.known.missing(*split)}
-        self.learn(self.known.missing(*parts.values(), more=True))
-        for w, (body, *mark) in parts.items():
-            if mark or body != w:
-                self.known[w] = self.known[body] + b"".join(map(self.known.__getitem__, mark))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+        self.plain = re.compile(f"[{LETTERS}0-9{MARKS}]+")
+        self.part = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[{MARKS}]+")
+        self.parts: dict[str | bytes, bytes] = {}
+        self.remember = remember
+        self.words = Table(remember, "<u4", self.learn)
+
+    def split(self, word: bytes) -> str | bytes | list[str]:
+        """The part or parts of a word, or the word itself if the tokenizer is to part it."""
+        text = word.decode("utf-8", "replace").lower()
+        if text.isascii() and text.isalpha():
+            return text
+        return self.part.findall(text) if self.plain.fullmatch(text) else word
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, as bytes."""
+        if len(self.parts) > self.remember:
+            self.parts.clear()
+        parts, split = self.parts, list(map(self.split, words))
+        several = [p for s in split if isinstance(s, list) for p in s]
+        new = {p for p in (*several, *(s for s in split if not isinstance(s, list))) if p not in parts}
+        plain = [p for p in new if isinstance(p, str)]
+        whole = [p for p in new if isinstance(p, bytes)]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(self.ends[ids]) + 1
+        if len(edges) == len(plain):
+            body, edges = ids.tobytes(), (4 * edges).tolist()
+            parts |= zip(plain, (body[a:b] for a, b in zip([0, *edges], edges)))
+        else:  # a tokenizer that parts plain words in another way
+            whole += plain
+        texts = [p if isinstance(p, str) else p.decode("utf-8", "replace") for p in whole]
+        for p, e in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            parts[p] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join([parts[p] for p in s]) if isinstance(s, list) else parts[s] for s in split]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of UTF-8 bytes laid end to end."""
+        if len(raw) <= 2 * BLOCK:
+            return self._encode(raw, offsets)
+        return [np.concatenate([self._encode(part, np.array([0, len(part)]))[0] for part in stretches(raw[a:b])]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        start, end = word_spans(raw, offsets)
+        ids, n = self.words.of_spans(raw, start, end)
+        return np.split(ids, np.append(0, np.cumsum(n))[np.searchsorted(start, offsets[1:-1])]) if len(offsets) > 1 else []
 
 
 def encoder(path: str) -> WordEncoder:
@@ -81,11 +115,10 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = 4096, end_id: int = 1)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", BLOCK):
             out: list[tuple] = []
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("doc_row").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()]))
-            for doc_id, doc_row, ids in rows:
-                ids += end
+            for doc_id, doc_row, ids in zip(batch.column("doc_id").to_pylist(), batch.column("doc_row").to_pylist(), own.encode(*text_bytes(batch.column("text")))):
+                ids = ids.tobytes() + end
                 for k in range(-(-len(ids) // (4 * capacity))):
                     part = ids[4 * capacity * k : 4 * capacity * (k + 1)]
                     out.append((doc_id, doc_row, k, capacity * k, len(part) // 4, zlib.crc32(part)))
