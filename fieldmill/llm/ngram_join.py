@@ -5,12 +5,14 @@ the counts come from a table of fixed size that all n-grams are hashed into, so
 n-grams. Two sets of the asked likeness share an n-gram among the first few of each (prefix filter), have sizes that
 are near (length filter), and stand early enough in each other's order (positional filter). What is left of a pair's
 suffixes is compared by how many of their n-grams fall into each of 256 parts, which bounds their difference from
-below (suffix filter). Pairs that pass are verified once, on their texts.
+below (suffix filter). Pairs that pass are verified once, on their texts; there as in the filters an n-gram is known by
+64 bits of hash.
 
 Large groups of near copies are not expanded into all their pairs. A first round tries for each shared n-gram a chain of
-its documents and forms components from the links found; the second tries every pair that passes the filters and whose
-components still differ. So no link between two components is missed, and a group costs about as much as its size. A
-n-gram with very many documents is split into blocks, and pairs of blocks are tasks of their own.
+its documents and forms components from the links found; the second tries every pair that passes all the filters and
+whose components still differ, where the suffix filter, too, comes before a pair is written. So no link between two
+components is missed, and a group costs about as much as its size. An n-gram with very many documents is split: its chain over
+tasks, and the pairs across components into blocks, of which each two are a task of their own.
 
 Words are runs of bytes other than ASCII white space, with A-Z in lower case. Nulls and texts without words have empty
 sets and link with nothing. A text with fewer words than an n-gram has its whole word sequence as its only one. Rows of
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, keyed, mix, nothing_kept, prefix_hashes, slices, span_hashes, staged, text_bytes
+from .common import keyed, mix, nothing_kept, prefix_hashes, slices, span_hashes, staged, text_bytes, word_spans
 
 BUCKETS = 1 << 15  # of the frequency table
 PARTS = 256  # of the suffix filter
@@ -36,19 +38,12 @@ CHUNK = 1 << 20
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
-_is_space = np.zeros(256, bool)
-_is_space[list(SPACE_BYTES)] = True
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams."""
     raw = _lower[raw]
-    word = ~_is_space[raw]
-    begins = np.append(True, ~word[:-1])[: len(word)]
-    begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
-    start = np.flatnonzero(begins & word)
-    stops = np.append(begins[1:] | ~word[1:], True)[: len(word)]
-    end = np.flatnonzero(stops & word) + 1
+    start, end = word_spans(raw, offsets)
     h = mix(span_hashes(prefix_hashes(raw), start, end)) if len(raw) else np.zeros(0, np.uint64)
     factor = np.uint64(0x9FB21C651E98DF25)
     at = np.searchsorted(start, offsets)
@@ -128,59 +123,59 @@ def classes(sets: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token, key, n, pos of prefix entries whose n-gram another set's prefix has too; before, the document before it in a chain."""
+    """token, key, n, pos of prefix entries whose n-gram another set's prefix has too; before, the document before it in the n-gram's chain.
+
+    before is -1 where there is none of near size. Every n-gram has a chain order of its own, so a group's documents get
+    many different neighbours. Entries are dealt by ranges of (token, place in the chain), so a common n-gram's are in
+    several tasks. The first and last entry of a task count as shared, as the other may be in the next task.
+    """
     entries = sets.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    chain = F.xxhash64("key", F.col("token").bitwiseAND(15))  # a few orders, so that chains differ
-    ordered = entries.withColumn("chain", chain).repartition("token").sortWithinPartitions("token", "chain", "key").drop("chain")
+    placed = entries.select("token", F.xxhash64("key", "token").alias("chain"), "key", "n", "pos")
+    ordered = placed.repartitionByRange("token", "chain", "key").sortWithinPartitions("token", "chain", "key").drop("chain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_kept()
-        held = None  # the last row, and whether the row before it has the same token: [columns, before]
+        held, tied, before_held = None, True, -1  # the last entry, and whether it is shared with the one before or the task's first
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("token", "key", "n", "pos")]
-            before = np.append(-1, cols[1][:-1])
-            same = np.append(False, cols[0][1:] == cols[0][:-1])
-            if held is not None:
-                cols = [np.append(h, c) for h, c in zip(held[0], cols)]
-                joined = cols[0][1] == cols[0][0]
-                before = np.append(held[1], np.append(cols[1][0], before[1:]))
-                same = np.append(held[2], np.append(joined, same[1:]))
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            cols = [batch.column(c).to_numpy() for c in ("token", "key", "n", "pos")]
+            cols = cols if held is None else [np.append(h, c) for h, c in zip(held, cols)]
+            token, key, n, _ = cols
+            same = np.append(False, token[1:] == token[:-1])
+            last_n = np.append(0, n[:-1])
+            near = same & (100 * np.minimum(n, last_n) >= percent * np.maximum(n, last_n))
+            before = np.where(near, np.append(-1, key[:-1]), -1)
+            before[0] = before_held
             shared = same | np.append(same[1:], False)
-            shared[-1] = False  # decided with the next batch
-            n, n_before = cols[2], np.append(0, cols[2][:-1])
-            if held is not None:
-                n_before[0] = held[3]
-            near = same & (100 * np.minimum(n, n_before) >= percent * np.maximum(n, n_before))
-            yield give(cols, np.where(near, before, -1), shared)
-            held = ([c[-1:] for c in cols], before[-1], same[-1], n_before[-1])
-        if held is not None and held[2]:
-            n, n_before = int(held[0][2][0]), int(held[3])
-            near = 100 * min(n, n_before) >= percent * max(n, n_before)
-            yield give(held[0], np.array([held[1] if near else -1]), np.array([True]))
-
-    def give(cols: list[np.ndarray], before: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+            shared[0] |= tied
+            yield given([c[:-1] for c in cols], before[:-1], shared[:-1])
+            held, tied, before_held = [c[-1:] for c in cols], bool(same[-1]) or len(same) == 1 and tied, before[-1]
+        if held is not None:
+            yield given(held, np.array([before_held]), np.array([True]))
+
+    def given(cols: list[np.ndarray], before: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in (*cols, before)], ["token", "key", "n", "pos", "before"])
 
     return ordered.mapInArrow(run, "token long, key long, n long, pos int, before long")
 
 
-def across(entries: DataFrame, percent: int, most: int) -> DataFrame:
-    """a, b: pairs with a common n-gram in their prefixes, of near sizes and positions, whose components (comp) differ.
+def across(entries: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b: pairs with a common n-gram in their prefixes that pass all filters and whose components (comp) differ.
 
     An n-gram with more than most entries is cut into blocks, and each two blocks meet in a task of their own.
     """
     per = entries.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = per.filter("lo < hi").select("token", F.ceil(F.col("rows") / most).cast("int").alias("blocks"))
-    placed = entries.join(mixed, "token").withColumn("block", F.pmod(F.hash("key"), F.col("blocks")))
+    blocks = per.filter("lo < hi").select("token", F.ceil(F.col("rows") / most).cast("int").alias("blocks"))
+    placed = entries.join(blocks, "token").withColumn("block", F.pmod(F.hash("key"), F.col("blocks"))).join(sets.select("key", "parts"), "key")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.withColumn("other", other).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "pos", "comp"
+        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "pos", "comp", "parts"
     )
     ordered = placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "comp", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -201,6 +196,7 @@ def across(entries: DataFrame, percent: int, most: int) -> DataFrame:
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j, block, key, n, pos, comp = (table.column(c).to_numpy() for c in ("i", "j", "block", "key", "n", "pos", "comp"))
+        parts = text_bytes(table.column("parts"))[0].reshape(-1, PARTS)
         edges = np.append(group_edges(table), table.num_rows)
         found, size = [], 0
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -210,8 +206,9 @@ def across(entries: DataFrame, percent: int, most: int) -> DataFrame:
             sizes = np.diff(firsts)
             large = int(np.argmax(sizes))
             rest = np.concatenate([np.arange(a, firsts[large]), np.arange(firsts[large + 1], b)])
-            for at in range(0, len(rest), max(1, 2_000_000 // (b - a))):
-                x = rest[at : at + max(1, 2_000_000 // (b - a))][:, None]
+            step = max(1, 500_000 // (b - a))
+            for at in range(0, len(rest), step):
+                x = rest[at : at + step][:, None]
                 y = np.arange(a, b)[None, :]
                 ok = comp[x] != comp[y]
                 ok &= (y < x) | ((y >= firsts[large]) & (y < firsts[large + 1]))  # each pair once
@@ -222,9 +219,12 @@ def across(entries: DataFrame, percent: int, most: int) -> DataFrame:
                 least = -(-percent * (nx + ny) // (100 + percent))
                 ok &= 1 + np.minimum(nx - pos[x] - 1, ny - pos[y] - 1) >= least
                 p, q = np.nonzero(ok)
-                if len(p):
-                    found.append(np.stack([key[x[p, 0]], key[y[0, q]]]))
-                    size += len(p)
+                p, q = x[p, 0], y[0, q]
+                for k in range(0, len(p), 20_000):
+                    u, v = p[k : k + 20_000], q[k : k + 20_000]
+                    like = alike(parts[u], parts[v], n[u] + n[v], percent)
+                    found.append(np.stack([key[u[like]], key[v[like]]]))
+                    size += int(like.sum())
             if size > 200_000:
                 yield distinct(found)
                 found, size = [], 0
@@ -236,7 +236,13 @@ def across(entries: DataFrame, percent: int, most: int) -> DataFrame:
         both = np.unique(np.sort(both, axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(one: np.ndarray, two: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of together n members may be as like as asked, by the counts of their parts."""
+    apart = np.abs(one.astype(np.int16) - two).sum(axis=1)
+    return apart <= n - 2 * -(-percent * n // (100 + percent))
 
 
 def filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,10 +254,8 @@ def filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                pa_, pb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("pa", "pb"))
-                n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-                least = -(-percent * n // (100 + percent))
-                keep = np.abs(pa_ - pb).sum(axis=1) <= n - 2 * least
+                one, two = (text_bytes(batch.column(c))[0].reshape(-1, PARTS) for c in ("pa", "pb"))
+                keep = alike(one, two, batch.column("na").to_numpy() + batch.column("nb").to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.distinct().join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
@@ -322,22 +326,32 @@ def components(links: DataFrame) -> DataFrame:
     return root
 
 
-def groups(docs: DataFrame, *, width: int = 4, percent: int = 85, most: int = 50_000) -> DataFrame:
+def relabelled(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between the components known, each named by its root."""
+    one, two = (known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    return links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+
+
+def merged(known: DataFrame, more: DataFrame) -> DataFrame:
+    """node and root of components known before, joined by more, whose nodes are their roots or alone until now."""
+    top = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = known.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(more.join(known, "node", "left_anti"))
+
+
+def groups(docs: DataFrame, *, width: int = 4, percent: int = 85, most: int = 10_000) -> DataFrame:
     """key, n_shingles and component (the smallest key of its group) of docs with key and text."""
     sets = staged(described(docs, width, percent), "sets")
     rep = staged(classes(sets), "classes")
     one_each = sets.join(rep.filter("key = rep").select("key"), "key", "left_semi")
     entries = staged(shared_prefixes(one_each, percent), "entries")
     chained = entries.filter("before >= 0").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b"))
-    first = verified(filtered(chained, sets, percent), docs, width, percent)
-    known = components(first)
-    labelled = entries.drop("before").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
-    second = verified(filtered(across(labelled, percent, most), sets, percent), docs, width, percent)
-    one, two = (known.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    between = second.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    merged = components(between).select(F.col("node").alias("mid"), F.col("root").alias("top"))  # of components, not documents
-    mid = rep.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("mid"))
-    root = mid.join(merged, "mid", "left").select("key", F.coalesce("top", "mid").alias("component"))
+    known = components(verified(filtered(chained, sets, percent), docs, width, percent))
+    roots = known.withColumnRenamed("node", "key")
+    labelled = entries.drop("before").join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    between = verified(across(labelled, sets, percent, most), docs, width, percent)
+    known = merged(known, components(relabelled(between, known)))
+    root = rep.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
     return sets.select("key", F.col("n").alias("n_shingles")).join(root, "key", "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))
 
 
