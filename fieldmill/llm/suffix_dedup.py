@@ -7,10 +7,11 @@ windows with one file is a segment, the unit of the first round:
 1. Blocks of documents: segments that share a file are suffix-sorted. The sort is a mergesort whose comparisons find the
    common extension of two suffixes by binary search over prefix polynomial hashes; neighbours that come out equal are
    compared byte by byte. All but the first of equal segments are repeats, and one of each goes on.
-2. The segments of all blocks meet by file, sorted, and stream past: all but the first of equal ones are repeats. A
-   segment that shares its file with different ones only has to be looked at window by window.
+2. The segments of all blocks meet by file, sorted, and stream past: all but the first of equal ones are repeats. Equal
+   is here who has the file and, verified on all its bytes, the BLAKE2b digest of another. A segment that shares its
+   file with different ones only has to be looked at window by window.
 3. Those few are read again. Their bytes meet by file, and their windows are told apart by two 64-bit hashes of their
-   two halves. Where a file has more kinds than a task should hold, windows instead of segments are sent, and meet by
+   two halves, which are too short for the structured collisions that hashes modulo 2**64 have. Where a file has more kinds than a task should hold, windows instead of segments are sent, and meet by
    those hashes as segments did before.
 4. Each document's repeats are joined with its text and cut out.
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import compressed, keyed, mix, nothing_kept, powers, prefix_hashes, slices, span_hashes, staged, text_bytes
 
-BLOCK = 2 << 20  # bytes of text that a task looks at together
-LONG = 6 << 20  # longer documents are cut, with an overlap
+BLOCK = 1 << 19  # bytes of text that a task looks at together
+LONG = 1 << 20  # longer documents are cut, with an overlap
 SHIFT = 24  # a position and a count in one number; a count stays below 2**24
 SEGMENT = "file long, sum long, key long, place long"
 FOUND = "key long, start long, n long, repeat boolean, file long"
@@ -188,9 +189,10 @@ def block_segments(docs: DataFrame, window: int, piece: int) -> DataFrame:
                             own = [where[s] for s, _ in same]
                             first = min(own, key=lambda i: (key[i], at[i]))
                             repeat[[i for i in own if i != first]] = True
-            total = mix(span_hashes(h, start, start + length) + length.astype(np.uint64))
             new = ~repeat
-            yield _rows(file[new], total[new], key[new], at[new], n[new])
+            body = suffixes.raw
+            digests = b"".join(hashlib.blake2b(body[a:b], digest_size=8).digest() for a, b in zip(start[new].tolist(), (start + length)[new].tolist()))
+            yield _rows(file[new], np.frombuffer(digests, np.uint64), key[new], at[new], n[new])
             if repeat.any():
                 yield _repeats(key[repeat], at[repeat], length[repeat])
             if inner.any():
