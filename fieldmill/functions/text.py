@@ -14,6 +14,11 @@ GRE = r"(?i)\bGRE\s*[:\-]?\s*(\d{2,3})\b"
 GRE_V = r"(?i)\bGRE\s*V\s*[:\-]?\s*(\d{2,3})\b"
 GRE_AW = r"(?i)\bGRE\s*AW\s*[:\-]?\s*(\d(?:\.\d{1,2})?)\b"
 GPA = r"(?i)\bGPA\s*[:\-]?\s*([0-4](?:\.\d{1,3})?)\b"
+COMMENT_PREFIX = (
+    r"(?i)^\s*(?:Accepted|Rejected|Wait\s*listed|Interview)(?:\s+on\s+[A-Za-z]{3,9}\s+\d{1,2})?(?:\s+(?:Spring|Summer|Fall|Winter)\s+\d{4})?"
+    r"(?:\s+(?:International|American|Other|0))?(?:\s+GRE\s*[:\-]?\s*\d{2,3})?(?:\s+GRE\s*V\s*[:\-]?\s*\d{2,3})?"
+    r"(?:\s+GRE\s*AW\s*[:\-]?\s*\d(?:\.\d{1,2})?)?(?:\s+GPA\s*[:\-]?\s*[0-4](?:\.\d{1,3})?)?\s*"
+)  # a status, and after it in this order, each at most once, what may follow
 DEGREES = {
     "master's": "Masters", "masters": "Masters", "ms": "Masters", "msc": "Masters", "ma": "Masters",
     "mba": "Masters", "meng": "Masters", "mfa": "Masters", "mph": "Masters",
@@ -36,26 +41,13 @@ UNIVERSITY_FIXES = {
 PROGRAM_FIXES = {"Mathematic": "Mathematics", "Info Studies": "Information Studies"}
 
 
-def _prefix_pattern() -> str:
-    """The structured beginning of a comment: a status, and after it in this order, each at most once, what may follow."""
-    status = r"^\s*(?:Accepted|Rejected|Wait\s*listed|Interview)"
-    parts = [
-        r"on\s+[A-Za-z]{3,9}\s+\d{1,2}", rf"(?:{'|'.join(SEASONS)})\s+\d{{4}}", "(?:International|American|Other|0)",
-        r"GRE\s*[:\-]?\s*\d{2,3}", r"GRE\s*V\s*[:\-]?\s*\d{2,3}", r"GRE\s*AW\s*[:\-]?\s*\d(?:\.\d{1,2})?", r"GPA\s*[:\-]?\s*[0-4](?:\.\d{1,3})?",
-    ]
-    return "(?i)" + status + "".join(rf"(?:\s+{p})?" for p in parts) + r"\s*"
-
-
-COMMENT_PREFIX = _prefix_pattern()
-
-
 def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
 def clean_text(c: Column) -> Column:
-    """White space runs as one space, none at the ends; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s+", " "))
+    """White space runs as one space, none at the ends; null becomes empty. A single space is no match, so most text has none."""
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -97,9 +89,8 @@ def with_added_on(c: Column) -> Column:
 
 
 def term(c: Column) -> Column:
-    pattern = rf"(?i)\b({'|'.join(SEASONS)})\s+(\d{{4}})\b"
-    season = F.regexp_extract(c, pattern, 1)
-    return F.when(season != "", F.concat(F.initcap(season), F.lit(" "), F.regexp_extract(c, pattern, 2))).otherwise(F.lit(""))
+    """The first "Fall 2026" in any case and spacing; empty without one."""
+    return F.initcap(clean_text(F.regexp_extract(c, rf"(?i)\b({'|'.join(SEASONS)})\s+(\d{{4}})\b", 0)))
 
 
 def student_type(c: Column) -> Column:
@@ -107,8 +98,7 @@ def student_type(c: Column) -> Column:
 
 
 def labelled_number(c: Column, pattern: str, label: str) -> Column:
-    found = F.regexp_extract(c, pattern, 1)
-    return F.when(found != "", F.concat(F.lit(f"{label} "), found)).otherwise(F.lit(""))
+    return F.coalesce(F.concat(F.lit(f"{label} "), none_if_empty(F.regexp_extract(c, pattern, 1))), F.lit(""))
 
 
 def date_added(c: Column) -> Column:

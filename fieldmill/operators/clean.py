@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def clean_records(raw: DataFrame) -> DataFrame:
-    """The twelve cleaned fields of raw entries, null where a field is absent; comments is empty instead. Other columns go."""
-    text = {c: T.clean_text(F.col(f"raw_{c}_text")) for c in ("school", "program", "added_on", "decision", "meta", "comment")}
-    program, meta = F.col("raw_program_text"), text["meta"]
+def clean_records(raw: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The twelve cleaned fields of raw entries, null where a field is absent; comments is empty instead. Of other columns only carry stays.
+
+    White space is cleaned first, once for each text, as fields are made from one text many times.
+    """
+    texts = ("school", "program", "added_on", "decision", "meta", "comment")
+    plain = raw.select(*(T.clean_text(F.col(f"raw_{c}_text")).alias(c) for c in texts), T.clean_text(F.col("url")).alias("url"), *carry)
+    meta = F.col("meta")
     fields = {
-        "program": T.compose_program(T.program_without_degree(T.clean_text(program)), text["school"]),
-        "comments": T.free_comment(text["comment"]),
-        "date_added": T.with_added_on(text["added_on"]),
-        "url": T.clean_text(F.col("url")),
-        "status": text["decision"],
+        "program": T.compose_program(T.program_without_degree(F.col("program")), F.col("school")),
+        "comments": T.free_comment(F.col("comment")),
+        "date_added": T.with_added_on(F.col("added_on")),
+        "url": F.col("url"),
+        "status": F.col("decision"),
         "term": T.term(meta),
         "US/International": T.student_type(meta),
         "GRE": T.labelled_number(meta, T.GRE, "GRE"),
         "GRE V": T.labelled_number(meta, T.GRE_V, "GRE V"),
         "GRE AW": T.labelled_number(meta, T.GRE_AW, "GRE AW"),
         "GPA": T.labelled_number(meta, T.GPA, "GPA"),
-        "Degree": T.degree_token(T.clean_text(program)),
+        "Degree": T.degree_token(F.col("program")),
     }
-    return raw.select(*((c if k == "comments" else T.none_if_empty(c)).alias(k) for k, c in fields.items()))
+    return plain.select(*((c if k == "comments" else T.none_if_empty(c)).alias(k) for k, c in fields.items()), *carry)
