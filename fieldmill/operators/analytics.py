@@ -114,7 +114,11 @@ def share_of_max(df: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, url: str) -> DataFrame:
-    return df.filter(F.col("url") == url).drop("p_id")
+    """The row with this url; a second one is an error when the result is read."""
+    found = df.filter(F.col("url") == url).drop("p_id")
+    several = F.raise_error(F.lit(f"more than one row has the url {url}"))
+    one = found.groupBy("url").agg(F.count("*").alias("_n"), F.any_value(F.struct(*found.columns)).alias("_row"))  # one group at most
+    return one.filter(F.when(F.col("_n") > 1, several.cast("boolean")).otherwise(True)).select("_row.*")
 
 
 def report(df: DataFrame, term: str, last_term: str) -> DataFrame:

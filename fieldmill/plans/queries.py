@@ -645,25 +645,48 @@ PULLED = (
 
 @query(RAW + PULLED)
 def incremental_pull(spark, sf_dir):
-    """Two pulls of the same pages into an empty snapshot table: the second adds nothing."""
-    store = records.SnapshotTable(spark, folder(spark), APPLICANT)
-    for _ in range(2):
-        after, _added = plan.pull(store.read(), survey_pages(spark, sf_dir))
-        store.replace(after.select(*APPLICANT.fieldNames()))
-    return store.read().select("url", "p_id")
+    """Two pulls of the same pages into an empty table: the second adds nothing."""
+    at = folder(spark)
+    for k in range(2):
+        added = plan.pull(records.read_table(spark, at, APPLICANT), survey_pages(spark, sf_dir))
+        records.append_batch(added.select(*APPLICANT.fieldNames()), at, f"pull-{k}")
+    return records.read_table(spark, at, APPLICANT).select("url", "p_id")
+
+
+@query(APPS + f"SELECT p_id, term, degree, status FROM applicants WHERE term = '{TERM}' AND degree = 'PhD'")
+def clustered_table(spark, sf_dir):
+    """The applicants as a written table, clustered by term and degree, and a filter that skips most of its files."""
+    at = folder(spark)
+    records.append_batch(applicants(spark, sf_dir).select(*APPLICANT.fieldNames()), at, "all")
+    return records.read_table(spark, at, APPLICANT).filter(F.col("term") == TERM).filter("degree = 'PhD'").select("p_id", "term", "degree", "status")
+
+
+def landed_stream(spark, source: DataFrame) -> DataFrame:
+    """source as a stream of written files, a few at a time."""
+    landed = folder(spark)
+    source.repartition(8).write.parquet(landed)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(landed)
 
 
 @query("SELECT 'https://example.org/user/' || CAST(user_id AS VARCHAR) AS url, count(*) AS copies FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def streaming_ingest(spark, sf_dir):
     """The events table as a stream of records of users: each URL comes in once."""
-    source = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    landed = folder(spark)
-    source.write.parquet(landed)
-    store = records.SnapshotTable(spark, folder(spark), APPLICANT)
 
     def prepare(rows: DataFrame) -> DataFrame:
         return rows.select(F.concat(F.lit("https://example.org/user/"), F.col("user_id").cast("string")).alias("url"), F.col("event_type").alias("program"), F.col("event_id").alias("pos"))
 
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(landed)
-    ingest(stream, store, prepare, folder(spark)).awaitTermination()
-    return store.read().groupBy("url").agg(F.count("*").alias("copies"))
+    at = folder(spark)
+    stream = landed_stream(spark, table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
+    ingest(stream, at, APPLICANT, prepare, folder(spark)).awaitTermination()
+    return records.read_table(spark, at, APPLICANT).groupBy("url").agg(F.count("*").alias("copies"))
+
+
+@query(_sql_report())
+def streaming_report(spark, sf_dir):
+    """The report after the last batch of a stream of the applicants."""
+    at, reports = folder(spark), folder(spark)
+    stream = landed_stream(spark, applicants(spark, sf_dir).withColumn("pos", F.col("p_id")))
+    ingest(stream, at, APPLICANT, lambda rows: rows, folder(spark), report_to=reports, terms=(TERM, LAST_TERM)).awaitTermination()
+    found = spark.read.parquet(reports)
+    last = found.agg(F.max("batch").alias("batch"))
+    return found.join(F.broadcast(last), "batch").select("number", "answer")  # one row

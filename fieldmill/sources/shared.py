@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _local_dirs: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, name: str = "table") -> str:
-    """A new path in spark.checkpoint.dir; a local folder only where the session names none."""
+    """A new path in spark.checkpoint.dir; a local folder only where the session names none and runs on this machine alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_dirs:
             _local_dirs[app] = f"file://{tempfile.mkdtemp(prefix='spark-fieldmill-')}"
