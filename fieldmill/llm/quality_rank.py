@@ -3,10 +3,12 @@
 Every text is described by shares of character classes, lengths, and how much of it repeats. Pairs of a good and a
 bad labelled text are preferences; weights are fitted by the logistic loss on the differences of their features. The
 threshold is the quantile of the labelled scores at the share of bad texts among them. Fitting uses at most
-sample_size labelled rows (those with the smallest hashes of their ids), scoring all texts.
+sample_size labelled rows (those with the smallest hashes of their ids) and draws pairs preferences among them, each one
+good and one bad text, with a fixed seed; scoring covers all texts.
 
 Nulls count as empty texts, whose features are all zero. Labels that are null are left out; of several labels of one
-document the least counts. Without both kinds of labels every score is one half.
+document the least counts. Rows that share a doc_id each learn from its label, and a null doc_id has none. Without both
+kinds of labels every score is one half.
 """
 
 from __future__ import annotations
@@ -81,9 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_si
 
     rows = labelled(docs, labels, label, sample_size).mapInArrow(run, "doc_id long, label double, x array<double>").orderBy("doc_id").toArrow()
     y = rows.column("label").to_numpy()
-    x = np.array(rows.column("x").to_pylist()) if len(y) else np.zeros((0, 1))
     if len(set(y)) < 2:
         return {"w": np.zeros(1), "mean": np.zeros(1), "scale": np.ones(1), "threshold": np.zeros(1)}
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1e9
     z = (x - mean) / scale

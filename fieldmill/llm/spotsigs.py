@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import keyed, let
 
 #: Anchors: common words of several languages.
 ANCHORS = [
@@ -73,26 +73,31 @@ def likeness(a: Column, b: Column, *, floor: float = 0.02) -> Column:
 
 
 def with_next(docs: DataFrame, *, rows_per_block: int = 2000) -> DataFrame:
-    """block, doc_id, text, guest and next_text, the text of the next document by id; after the last comes the first.
+    """block, key, doc_id, text, guest and next_text, the text of the next document by id; after the last comes the first.
 
-    Documents are cut by id into blocks, and each block also gets the first document of the block after it, so no
-    task sees more than its block: the guest, whose own next_text is null. Rows of one id follow each other by text; a null id comes before all others.
+    Documents are cut into blocks of about equal counts, whatever their ids are: a block's first key comes from the ids
+    alone, dealt by ranges, and each document finds its block by binary search in these keys, of which there is one for
+    rows_per_block documents. A block also gets the first document of the block after it, so no task sees more than its
+    block: the guest, whose own next_text is null. Rows of one id follow each other by text; a null id comes before all
+    others (see keyed()).
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    span = base.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n"))
-    width = F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo") + 1).cast("double") / F.greatest(F.lit(1.0), F.col("n") / rows_per_block))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.col("lo")) / width), F.lit(-1))
-    placed = base.join(F.broadcast(span), how="inner").select(block.alias("block"), "doc_id", "text", F.lit(False).alias("guest"))  # one row
-    blocks = placed.groupBy("block").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    host = F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(whole))  # a row for each block
-    guests = blocks.select(host.alias("block"), "first").select("block", "first.doc_id", "first.text", F.lit(True).alias("guest"))
+    spark = docs.sparkSession
+    base = keyed(docs).select("key", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = max(1, base.count() // rows_per_block)
+    ranged = base.select("key").repartitionByRange(n, "key").withColumn("part", F.spark_partition_id())
+    edges = sorted(r.first for r in ranged.groupBy("part").agg(F.min("key").alias("first")).collect())  # one for each block
+    steps = [1 << k for k in reversed(range(max(1, len(edges)).bit_length()))]
+    first = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")
+    block = F.reduce(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(first, at + step) <= F.col("key"), at + step).otherwise(at))
+    placed = base.select(block.alias("block"), "key", "doc_id", "text", F.lit(False).alias("guest"))
+    hosts = spark.createDataFrame([(e, (k - 1) % len(edges)) for k, e in enumerate(edges)], "key long, block int")
+    guests = base.join(F.broadcast(hosts) if len(edges) <= 500_000 else hosts, "key").select("block", "key", "doc_id", "text", F.lit(True).alias("guest"))
     return placed.unionByName(guests).withColumn("next_text", F.lead("text").over(following()))
 
 
 def following() -> Window:
     """The order of documents within their block; the guest comes last."""
-    return Window.partitionBy("block").orderBy(F.asc("guest"), F.asc_nulls_first("doc_id"), F.asc("text"))
+    return Window.partitionBy("block").orderBy("guest", "key")
 
 
 def fingerprints(docs: DataFrame, *, chain: int = 2, floor: float = 0.02, rows_per_block: int = 2000) -> DataFrame:
@@ -105,7 +110,7 @@ def fingerprints(docs: DataFrame, *, chain: int = 2, floor: float = 0.02, rows_p
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     sets = pairs.select(
-        "block", "guest", "doc_id", "text", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
+        "block", "guest", "key", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
         signatures(F.col("text"), chain=chain).alias("own"), F.when(~F.col("guest"), signatures(edited, chain=chain)).alias("changed"),
     )
     both = sets.withColumn("next", F.lead("own").over(following())).filter(~F.col("guest"))

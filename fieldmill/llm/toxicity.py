@@ -9,7 +9,8 @@ commoner in toxic texts, fitted on at most sample_size labelled documents here o
 hashes).
 
 Nulls count as empty texts; an empty text has the score of the bias alone. Labels that are null are left out; of
-several labels of one document the least counts. Without both kinds of labels the score is the share of toxic ones.
+several labels of one document the least counts. Rows that share a doc_id each learn from its label, and a null doc_id has
+none. Without both kinds of labels every score is near 1 or near 0, by the kind there is.
 """
 
 from __future__ import annotations
@@ -235,27 +236,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size
     ratio = (F.col("yes") + 0.5) / taken[1] / ((F.col("n") - F.col("yes") + 0.5) / taken[0])
     telling = each.filter("yes >= 2").withColumn("gain", F.col("yes") * F.log(ratio)).filter("gain > 0").orderBy(F.desc("gain"), "feature").limit(n_features)
     names = [r.feature for r in telling.select("feature").collect()]
-    place = {f: k for k, f in enumerate(names)}
-    known = rows.select("doc_id", "label", F.explode("found").alias("feature")).join(F.broadcast(telling.select("feature")), "feature")
-    cells = known.groupBy("doc_id", "label").agg(F.sort_array(F.collect_list("feature")).alias("found")).toArrow()  # of sample_size rows
-    y = np.concatenate([cells.column("label").to_numpy(), np.zeros(taken[0] + taken[1] - len(cells))])
-    y[len(cells) :] = 0  # texts without any telling feature; the bias speaks for them
-    lists = cells.column("found").to_pylist()
-    at = np.array([place[f] for x in lists for f in x], np.int64)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    places = spark.createDataFrame(list(zip(names, range(len(names)))), "feature string, place int")  # n_features at most
+    known = rows.select("doc_id", "label", F.explode("found").alias("feature")).join(F.broadcast(places), "feature")
+    cells = known.groupBy("doc_id", "label").agg(F.sort_array(F.collect_list("place")).alias("places")).toArrow()  # of sample_size rows
+    lists = cells.column("places").combine_chunks()
+    y = np.concatenate([cells.column("label").to_numpy(), np.zeros(taken[0] + taken[1] - len(cells))])  # the last: texts without any telling feature; the bias speaks for them
+    at, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     prior = np.where(y == 1, n[1] / taken[1], n[0] / taken[0])  # the sample's kinds count as they do among all labels of documents here
-    prior /= prior.mean()
-    w, bias = np.zeros(len(names)), 0.0
-    speed, speed_b = np.full(len(names), 1e-8), 1e-8
-    for _ in range(150):
+    w, bias = logistic(row, at, y, prior / prior.mean(), len(names))
+    return {"costs": costs, "weights": {f: float(v) for f, v in zip(names, w) if v > 0}, "bias": float(bias)}
+
+
+def logistic(row: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, *, penalty: float = 0.02, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights of n features, none below 0, and bias of a logistic regression; example row[k] has feature at[k]."""
+    w, bias = np.zeros(n), 0.0
+    speed, speed_b = np.full(n, 1e-8), 1e-8
+    for _ in range(rounds):
         z = np.bincount(row, w[at], minlength=len(y)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * prior
-        g = np.bincount(at, error[row], minlength=len(names)) + 0.02 * w
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        g = np.bincount(at, error[row], minlength=n) + penalty * w
         g_b = error.sum()
         speed, speed_b = speed + g * g, speed_b + g_b * g_b
         w = np.maximum(0.0, w - 0.5 * g / np.sqrt(speed))
         bias -= 0.5 * g_b / np.sqrt(speed_b)
-    return {"costs": costs, "weights": {f: float(v) for f, v in zip(names, w) if v > 0}, "bias": float(bias)}
+    return w, float(bias)
 
 
 def score(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

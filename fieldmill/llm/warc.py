@@ -67,8 +67,8 @@ def bounds(ids: DataFrame, shard_records: int) -> list[tuple[int, bytes]]:
         base.append((r.part, total))
         total += r.n
     bases = ids.sparkSession.createDataFrame(base, "part long, base long")
-    ranked = ordered.withColumn("part", part).join(bases, "part").withColumn("rank", F.col("base") + row)
-    firsts = ranked.filter(F.col("rank") % shard_records == 0).orderBy("rank").select("page_id", "digest").collect()
+    ranked = ordered.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + row)
+    firsts = sorted(ranked.filter(F.col("rank") % shard_records == 0).select("rank", "page_id", "digest").collect(), key=lambda r: r.rank)
     return [(LEAST if r.page_id is None else r.page_id, bytes(r.digest)) for r in firsts]
 
 

@@ -210,6 +210,17 @@ def test_fingerprints_of_odd_tables(spark):
     one = spotsigs.fingerprints(table(spark, ["the quick fox is in the wood"])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert spotsigs.fingerprints(table(spark, ["a b", "c d", None], [1, 1, None])).count() == 3
+    long = prose(random.Random(3), 60_000)
+    assert by_id(spotsigs.fingerprints(table(spark, [long, "short"])))[0].n_chars == len(long)
+
+
+def test_blocks_have_near_counts_whatever_the_ids(spark):
+    ids = [*range(3000), 10**15]
+    rows = table(spark, [f"the word w{k} of it" for k in range(3001)], ids)
+    found = spotsigs.with_next(rows, rows_per_block=100).collect()
+    sizes = collections.Counter(r.block for r in found if not r.guest)
+    assert len(sizes) == 30 and max(sizes.values()) < 250
+    assert {r.doc_id: r.next_text for r in found if not r.guest} == {i: f"the word w{(k + 1) % 3001} of it" for k, i in enumerate(ids)}
 
 
 # 5 and 7
@@ -324,6 +335,77 @@ def test_labels_of_documents_elsewhere_take_no_part(spark, module, label):
     assert module.score(table(spark, []), module.fit(table(spark, []), away, label=label)).count() == 0
 
 
+def test_likeliest_path_against_all_paths(spark):
+    """Viterbi's words are those of the cheapest of all paths through short lattices."""
+    import itertools
+
+    rng = np.random.default_rng(7)
+    own = toxicity.Restorer(rng.random((toxicity.A,) * 3).astype(np.float32) * 3, ["ab", "cab", "b"])
+    own.WORD_COST = 2.5
+
+    def word_cost(word):
+        a, b, total = 0, 0, 0.0
+        for c in word:
+            k = toxicity._code[c]
+            total += float(own.costs[a, b, k])
+            a, b = b, k
+        total += float(own.costs[a, b, 0])
+        return min(total, own.WORD_COST) if word in own.lexicon else total
+
+    for _ in range(60):
+        lattice = []
+        for _ in range(rng.integers(1, 6)):
+            options = rng.choice(["a", "b", "c", "aa", "", " "], size=rng.integers(1, 4), replace=False)
+            lattice.append([(str(x), float(rng.random() * 2)) for x in options])
+        paths = {}
+        for path in itertools.product(*lattice):
+            text = " ".join("".join(x for x, _ in path).split())
+            cost = sum(c for _, c in path) + sum(map(word_cost, text.split()))
+            paths[text] = min(cost, paths.get(text, cost))
+        assert own.likeliest(lattice) == min(paths, key=paths.get)
+
+
+def test_logistic_fit_against_plain_descent():
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 12)) < 0.2).astype(float)
+    y = (x[:, 0] + x[:, 1] + 0.3 * rng.random(200) > 0.9).astype(float)
+    row, at = np.nonzero(x)
+
+    def loss(w, b):
+        z = x @ w + b
+        return float(np.sum(np.log1p(np.exp(-np.where(y == 1, z, -z)))) + 0.01 * w @ w)
+
+    w, b = np.zeros(12), 0.0
+    for _ in range(40_000):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = np.maximum(0, w - 0.01 * (x.T @ error + 0.02 * w)), b - 0.01 * error.sum()
+    found = toxicity.logistic(row, at, y, np.ones(200), 12, rounds=4000)
+    assert loss(*found) <= 1.02 * loss(w, b)
+
+
+def test_quality_fit_is_the_optimum_and_cuts_at_the_quantile(spark):
+    df, labels, truth = labelled(spark)
+    model = quality_rank.fit(df, labels, label="quality", pairs=4000)
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    raw = [texts[t[0]].encode() for t in truth]
+    x = quality_rank.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    y = np.array([t[1] for t in truth], float)
+    z = (x - model["mean"]) / model["scale"]
+    random_ = np.random.default_rng(0)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = z[random_.choice(good, 4000)] - z[random_.choice(bad, 4000)]
+    gradient = d.T @ (1 / (1 + np.exp(np.clip(d @ model["w"], -30, 30)))) / 4000 - 1e-3 * model["w"]
+    assert np.abs(gradient).max() < 1e-5
+    assert model["threshold"][0] == pytest.approx(np.quantile(z @ model["w"], (y == 0).mean()))
+
+
+def test_classifiers_with_repeated_and_null_ids(spark):
+    df, labels, _ = labelled(spark, 60)
+    twice = df.unionByName(df.filter("doc_id < 20")).unionByName(table(spark, ["words of none"], [None]))
+    for module, label in ((quality_rank, "quality"), (toxicity, "toxic")):
+        assert module.score(twice, module.fit(twice, labels, label=label)).count() == 83
+
+
 def test_disguised_words_are_restored(spark):
     words = ["idiot", "worthless", "stupid", "loser", "clown", "house", "table", "street", "people"]
     rng = random.Random(1)
