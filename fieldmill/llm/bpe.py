@@ -4,7 +4,7 @@ The corpus's frequent words are compiled into a minimal acyclic transducer: stat
 the outputs summed along a word's path give its place in a table of token ids. The compiled lexicon is one block of
 bytes of bounded size that workers map into memory. A word outside it is merged exactly, pair by pair in rank order.
 
-Nulls and empty texts have no tokens. Text of any length is cut into words first, and a word of any length is merged
+Nulls and empty texts have no tokens; rows are coded each by itself, whatever their ids are. Text of any length is cut into words first, and a word of any length is merged
 with a heap, so the time grows with n log n.
 """
 
@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, kept, mix, slices, staged
+from .common import SPACE_BYTES, Table, gathered, kept, mix, slices, staged, text_bytes
 
 #: Fixed values of the byte-level format: the pattern of words, and the bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,6 +39,10 @@ def byte_of_char() -> dict[str, int]:
 
 
 NO_RANK = 1 << 40
+#: White space beyond the six ASCII characters, in UTF-8.
+OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_is_space = np.zeros(256, bool)
+_is_space[list(SPACE_BYTES)] = True
 
 
 class Vocabulary:
@@ -287,8 +292,12 @@ class Coder:
         self.words = regex.compile(PATTERN)
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.bytes_of = {str(i): b for i, b in self.vocabulary.bytes_of.items()}
-        self.known = Memory(remember)
+        size = max(self.vocabulary.bytes_of) + 1
+        self.bytes_of = _laid_out([self.vocabulary.bytes_of.get(i, b"") for i in range(size)])
+        self.digits_of = _laid_out([b"%d," % i for i in range(size)])
+        self.known: dict[str, bytes] = {}
+        self.remember = remember
+        self.units = Table(remember, "<u4", self.learn)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; a special token's string stands for itself wherever it occurs."""
@@ -301,25 +310,60 @@ class Coder:
             at = m.end()
         return out + self.words.findall(text[at:])
 
-    def learn(self, split: list[list[str]]) -> None:
-        new = self.known.missing(*split)
+    def learn(self, units: list[bytes]) -> list[bytes]:
+        """The ids of stretches of text that are met for the first time, as bytes; their words are remembered as well."""
+        if len(self.known) > self.remember:
+            self.known.clear()
+        split = [self.split(u.decode("utf-8", "replace")) for u in units]
+        new = list({w for words in split for w in words if w not in self.known})
         raw = [w.encode() for w in new]
         at = self.lexicon.find(raw).tolist() if self.lexicon and raw else [-1] * len(raw)
         special = self.vocabulary.special
         unseen = iter(self.vocabulary.merge_many([b for w, b, i in zip(new, raw, at) if i < 0 and w not in special]))
         for w, i in zip(new, at):
             ids = [special[w]] if w in special else self.lexicon.tokens(i) if i >= 0 else next(unseen)
-            self.known[w] = ",".join(map(str, ids))
-
-    def encode(self, texts: list[str]) -> list[str]:
-        """The decimal ids of each text, joined by commas."""
-        split = [self.split(t) for t in texts]
-        self.learn(split)
-        return [",".join(map(self.known.__getitem__, words)) for words in split]
-
-    def decode(self, ids: str) -> str:
-        """The text of comma-joined ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+            self.known[w] = np.array(ids, "<u4").tobytes()
+        known = self.known
+        return [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in split]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of UTF-8 bytes laid end to end."""
+        if OTHER_SPACE.search(raw.tobytes()):
+            return [self._encode(raw[a:b], np.array([0, b - a]))[0] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        return self._encode(raw, offsets)
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Texts are cut before a space or line break between two other characters, where a word begins whatever stands around."""
+        body = raw.tobytes()
+        if OTHER_SPACE.search(body):
+            return [np.frombuffer(self.learn([body])[0], "<u4")]
+        letter = ~_is_space[raw]
+        begins = np.zeros(len(raw), bool)
+        if len(raw):
+            begins[1:-1] = ((raw == 32) | (raw == 10))[1:-1] & letter[:-2] & letter[2:]
+            begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(begins)
+        ids, n = self.units.of_spans(raw, start, np.append(start[1:], len(raw))[: len(start)])
+        return np.split(ids, np.append(0, np.cumsum(n))[np.searchsorted(start, offsets[1:-1])]) if len(offsets) > 1 else []
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
+        return _of_each(self.bytes_of, ids).tobytes().decode("utf-8", "replace")
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The decimal ids, joined by commas."""
+        return _of_each(self.digits_of, ids).tobytes()[:-1]
+
+
+def _laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+
+def _of_each(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    values, start, size = table
+    out = [gathered(values, start[part], size[part]) for k in range(0, len(ids), 1 << 18) if len(part := ids[k : k + (1 << 18)])]
+    return np.concatenate(out) if out else np.zeros(0, np.uint8)
 
 
 def frequent_words(docs: DataFrame, *, size: int = 100_000) -> list[str]:
@@ -367,15 +411,16 @@ def encode(docs: DataFrame, path: str, *, lexicon_size: int = 100_000, digests:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, shared.value)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in slices(batches, "text", 1 << 18):
-            found = own.encode([t or "" for t in batch.column("text").to_pylist()])
-            n = pa.array([s.count(",") + 1 if s else 0 for s in found], pa.int64())
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        for batch in slices(batches, "text", 1 << 20):
+            found = own.encode(*text_bytes(batch.column("text")))
+            n = pa.array([len(ids) for ids in found], pa.int64())
             if digests:
-                rest = [pa.array(map(sha, found), pa.string()), pa.array((sha(own.decode(s)) for s in found), pa.string())]
+                rest = [pa.array([sha(own.joined(ids)) for ids in found], pa.string()), pa.array([sha(own.decode(ids).encode()) for ids in found], pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *rest], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                ids = pa.array([[int(i) for i in s.split(",")] if s else [] for s in found], pa.list_(pa.int32()))
+                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, ids], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
@@ -388,7 +433,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         own = coder(path)
         for batch in batches:
             rows = batch.column("ids").to_pylist()
-            texts = pa.array([own.decode(",".join(map(str, r or []))) for r in rows], pa.string())
+            texts = pa.array([own.decode(np.array(r or [], np.int64)) for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")

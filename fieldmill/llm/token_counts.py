@@ -6,7 +6,7 @@ before it would come out of BPE as that pair. The count at a prefix is then one
 piece starts. A text's count at any prefix is the sum over the chunks before and the chunk's own entry, so questions
 about truncation and budgets need no further encoding.
 
-Nulls count as empty, and an empty text has no tokens. A chunk of any length takes time in proportion to its length.
+Nulls count as empty, and an empty text has no tokens. Rows are counted each by itself, whatever their ids are. A chunk of any length takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, kept, slices
+from .common import Table, kept, slices, text_bytes
 
 SPACE = "▁"  # stands for a space in the model's pieces
 
@@ -41,7 +41,8 @@ class PrefixCounter:
         else:
             self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.remember = remember
-        self.total = Memory(remember)
+        self.total = Table(remember, "<i4", lambda chunks: [np.int32(self.table(c.decode("utf-8", "replace").replace(" ", SPACE))[-1]).tobytes() for c in chunks])
+        self.whole = inside or breaks
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def pieces(self, chunk: str) -> list[str]:
@@ -87,13 +88,42 @@ class PrefixCounter:
         return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def counts(self, chunks: list[str]) -> list[int]:
-        for c in self.total.missing(chunks):
-            self.total[c] = self.table(c)[-1]
-        return list(map(self.total.__getitem__, chunks))
+        places = self.total.places([c.encode() for c in chunks])
+        return self.total.values[self.total.start[places]].tolist()
 
     def count(self, text: str) -> int:
         return sum(self.counts(self.split(text)))
 
+    def count_all(self, raw: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The token count of each text of UTF-8 bytes laid end to end, and the characters of its longest prefix of at most limit tokens."""
+        texts = len(offsets) - 1
+        some = np.diff(offsets) > 0
+        raw = np.insert(raw, offsets[:-1][some], 32)  # the model's own start
+        offsets = offsets + np.append(0, np.cumsum(some))
+        body, n, fit = raw.tobytes(), np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+        if self.whole or SPACE.encode() in body:  # which is in no usual text
+            for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+                text = body[a + 1 : b].decode("utf-8", "replace")
+                n[k], fit[k] = self.count(text), self.fit(text, limit)
+            return n, fit
+        before = np.append(10, raw[:-1])[: len(raw)]
+        begins = (raw == 10) | (before == 10) | ((raw == 32) & (before != 32))
+        begins[offsets[:-1][some]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(raw))[: len(start)]
+        ends = np.append(0, np.cumsum(self.total.of_spans(raw, start, end)[0], dtype=np.int64))
+        chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        place = np.searchsorted(start, offsets)
+        n = np.diff(ends[place])
+        fit = np.maximum(0, np.diff(chars[offsets]) - 1)
+        for k in np.flatnonzero(n > limit).tolist():
+            base = int(ends[place[k]])
+            cut = int(np.searchsorted(ends, base + limit, side="right")) - 1  # the chunk that doesn't fit as a whole
+            chunk = body[start[cut] : end[cut]].decode("utf-8", "replace").replace(" ", SPACE)
+            inner = max((j for j, m in enumerate(self.table(chunk)) if ends[cut] + m <= base + limit), default=0)
+            fit[k] = max(0, int(chars[start[cut]] - chars[offsets[k]]) + inner - 1)
+        return n, fit
+
     def at_every_prefix(self, text: str) -> np.ndarray:
         """The exact token count of text[:k] for each k from 0 to its length (the empty prefix has none)."""
         out, base = [], 0
@@ -126,13 +156,10 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 4096) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in slices(batches, "text", 1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n = [own.count(t) for t in texts]
-            fit = [len(t) if k <= limit else own.fit(t, limit) for t, k in zip(texts, n)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(fit, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
-            )
+            raw, offsets = text_bytes(batch.column("text"))
+            n, fit = own.count_all(raw, offsets, limit)
+            arrays = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit), pa.array(fit)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

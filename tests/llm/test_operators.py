@@ -118,12 +118,13 @@ def test_token_counts(docs):
 
     df, texts = docs
     path = P.path("piece_bpe_32k.model")
-    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PrefixCounter(path)
     got = by_id(token_counts.count_tokens(df, path, limit=100))
     for i, t in enumerate(texts):
         n = len(library.encode(t or ""))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100)
         assert len(library.encode((t or "")[: got[i].fit_chars])) <= 100
+        assert got[i].fit_chars == token_counts.PrefixCounter.fit(own, t or "", 100)
 
 
 def test_token_count_at_every_prefix():
@@ -244,10 +245,21 @@ def test_bpe_special_strings_and_long_words():
 
     path = P.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), bpe.Coder(path)
-    for text in ["a<|endoftext|>b <|endoftext|>", "ab" * 5000, "a" * 999, "  \n\n x", "é漢🎉 don't I'LL 12345"]:
+    for text in ["a<|endoftext|>b <|endoftext|>", "ab" * 5000, "a" * 999, "  \n\n x", "é漢🎉 don't I'LL 12345", "a b\nc\n\nd  e \n f\t g ", "x\u2003 \u2003y \xa0 z\x1c q", " a", "a ", "\n", "<|endoftext|> x\n<|endoftext|>"]:
         ids = library.encode(text, add_special_tokens=False).ids
-        assert own.encode([text])[0] == ",".join(map(str, ids))
-        assert own.decode(",".join(map(str, ids))) == library.decode(ids, skip_special_tokens=False)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        found = own.encode(raw, np.array([0, len(raw)]))[0]
+        assert found.tolist() == ids and own.joined(found).decode() == ",".join(map(str, ids))
+        assert own.decode(found) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_counts_and_codes_of_odd_tables(spark):
+    for texts, ids in (([], []), (["a b", "a b", None], [1, 1, None]), (["▁x y", "z  w\n\n q " * 30], [1, 2])):
+        df = table(spark, texts, ids)
+        counted = token_counts.count_tokens(df, P.path("piece_bpe_32k.model"), limit=20)
+        assert sorted(r.n_bytes for r in counted.collect()) == sorted(len((t or "").encode()) for t in texts)
+        coded = bpe.encode(df, P.path("byte_bpe_50k.json"))
+        assert sorted(r.text for r in bpe.decode(coded, P.path("byte_bpe_50k.json")).collect()) == sorted(t or "" for t in texts)
 
 
 def test_lexicon_is_minimal_and_complete():
