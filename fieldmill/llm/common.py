@@ -135,19 +135,21 @@ def gathered(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray
 class Table:
     """A bounded memory of arrays by word: the words' arrays lie end to end in values, at start with length size.
 
-    When it is full, words that weren't asked for since the last time it was are dropped.
+    When it is full, words that weren't asked for again since the last time it was are dropped, and remember words at
+    most are kept; it is full again with half as many new ones.
     """
 
     def __init__(self, remember: int, kind: str, learn: Callable[[list[bytes]], list[bytes]]):
-        self.remember, self.learn = remember, learn
+        self.remember, self.limit, self.learn = remember, remember, learn
         self.known: dict[bytes, int] = {}
         self.values, self.start, self.size, self.used = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word; learn gives the values of words met for the first time, as bytes."""
-        if len(self.known) > self.remember:
+        if len(self.known) > self.limit:
             self._drop()
         at = list(map(self.known.get, words))
+        self.used[[k for k in at if k is not None]] = True
         new = list(dict.fromkeys(w for w, k in zip(words, at) if k is None))
         if new:
             found = self.learn(new)
@@ -158,12 +160,11 @@ class Table:
             self.values = np.concatenate([self.values, np.frombuffer(b"".join(found), self.values.dtype)])
             self.used = np.concatenate([self.used, np.zeros(len(new), bool)])
             at = [self.known[w] if k is None else k for w, k in zip(words, at)]
-        at = np.array(at, np.int64)
-        self.used[at] = True
-        return at
+        return np.array(at, np.int64)
 
     def _drop(self) -> None:
-        keep = np.flatnonzero(self.used)
+        keep = np.flatnonzero(self.used)[-self.remember :]
+        self.limit = max(self.remember, len(keep) + self.remember // 2)
         place = np.full(len(self.used), -1)
         place[keep] = np.arange(len(keep))
         self.known = {w: k for w, k in zip(self.known, place[list(self.known.values())].tolist()) if k >= 0}

@@ -28,7 +28,7 @@ SPACE = "▁"  # stands for a space in the model's pieces
 class PrefixCounter:
     """Counts tokens at prefixes; remembers a bounded number of chunks and pairs."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000, remember_pairs: int = 1_600_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         usual = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.rank = {model.id_to_piece(i): (-model.get_score(i), i) for i in usual}
@@ -40,7 +40,7 @@ class PrefixCounter:
             self.chunks = re.compile(r"[\s\S]+")
         else:
             self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.remember = remember
+        self.remember_pairs = remember_pairs
         self.total = Table(remember, "<i4", lambda chunks: [np.int32(self.table(c.decode("utf-8", "replace").replace(" ", SPACE))[-1]).tobytes() for c in chunks])
         self.whole = inside or breaks
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -61,7 +61,7 @@ class PrefixCounter:
         key = (before, piece)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 4 * self.remember:
+            if len(self.pairs) >= self.remember_pairs:
                 self.pairs.clear()
             known = self.pairs[key] = self.pieces(before + piece) == ([before, piece] if before else [piece])
         return known

@@ -227,6 +227,23 @@ def test_blocks_have_near_counts_whatever_the_ids(spark):
 # 5 and 7
 
 
+def test_word_table_forgets_within_bounds():
+    learn = lambda words: [np.array([len(w), w[0]], "<u4").tobytes() for w in words]
+    known, rng = common.Table(50, "<u4", learn), random.Random(1)
+    for _ in range(300):
+        words = [str(int(rng.paretovariate(0.7))).encode() for _ in range(30)]
+        at = known.places(words)
+        assert [tuple(known.values[known.start[k] :][: known.size[k]]) for k in at] == [(len(w), w[0]) for w in words]
+        assert len(known.known) == len(known.start) <= 105
+
+
+def test_distinct_spans_compare_whole_words():
+    words = [b"a", b"a\0", b"", b"b" * 24, b"b" * 25, b"b" * 25, b"a", b"b" * 24, b"c" * 8 + b"d", b"c" * 8 + b"e"]
+    raw, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    first, which = common.distinct_spans(raw, end - [len(w) for w in words], end)
+    assert [words[first[k]] for k in which] == words and len(first) == 8  # both of 25 bytes are kinds of their own
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
 
