@@ -333,38 +333,37 @@ def canon_exact(spark, sf_dir):
     return school.join(canon, "name", "left").select("p_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def dictionary(spark, sf_dir) -> DataFrame:
-    return applicants(spark, sf_dir).select(F.col("llm_generated_university").alias("name")).filter("name is not null").distinct()
+#: A made-up school name for each customer, so that the dictionary grows with the tables, and one with a letter left out.
+NAMES = """
+SELECT upper(substring(name, 1, 1)) || substring(name, 2) AS truth, upper(substring(name, 1, 1)) || substring(name, 2, k) || substring(name, k + 3) AS name
+FROM (SELECT substring(translate(md5(c_name), '0123456789', 'ghijklmnop'), 1, CAST(14 + c_custkey % 9 AS INT)) AS name, CAST(c_custkey % 12 AS INT) AS k FROM customer)
+"""
 
 
-def misspelt(spark, sf_dir) -> DataFrame:
-    """name and truth: each dictionary entry with one letter left out, at every place."""
-    at = dictionary(spark, sf_dir).select(F.col("name").alias("truth"), F.explode(F.sequence(F.lit(2), F.length("name"))).alias("k"))
-    return at.select(F.concat(F.expr("substring(truth, 1, k - 1)"), F.expr("substring(truth, k + 1)")).alias("name"), "truth")
+def names(spark, sf_dir) -> DataFrame:
+    """name, a dictionary entry with one letter left out, and truth, the entry."""
+    table(spark, sf_dir, "customer").select("c_name", "c_custkey").createOrReplaceTempView("customer")
+    return spark.sql(NAMES)
 
 
-MISSPELT = APPS + (
-    ", d AS (SELECT DISTINCT llm_generated_university AS truth FROM applicants WHERE llm_generated_university IS NOT NULL), "
-    "m AS (SELECT truth, substr(truth, 1, k - 1) || substr(truth, k + 1) AS name FROM (SELECT truth, unnest(generate_series(2, length(truth))) AS k FROM d))\n"
-)
+def dictionary(spark, sf_dir) -> DataFrame:
+    return names(spark, sf_dir).select(F.col("truth").alias("name")).distinct()
 
 
-@query(MISSPELT + "SELECT name, min(truth) AS match FROM m GROUP BY name")
+@query(f"SELECT name, min(truth) AS match FROM ({NAMES}) GROUP BY name")
 def fuzzy_match(spark, sf_dir):
-    return standardize.fuzzy_match(misspelt(spark, sf_dir), dictionary(spark, sf_dir), 0.86)
+    return standardize.fuzzy_match(names(spark, sf_dir).select("name"), dictionary(spark, sf_dir), 0.86)
 
 
-@query(MISSPELT + "SELECT name, min(truth) AS standard FROM m GROUP BY name")
+@query(f"SELECT name, min(truth) AS standard FROM ({NAMES}) GROUP BY name")
 def standardize_university(spark, sf_dir):
-    return standardize.standardized_names(misspelt(spark, sf_dir), dictionary(spark, sf_dir), "university")
+    return standardize.standardized_names(names(spark, sf_dir).select("name"), dictionary(spark, sf_dir), "university")
 
 
-@query(APPS + "SELECT DISTINCT llm_generated_program AS name, llm_generated_program AS standard FROM applicants UNION "
-       "SELECT DISTINCT left(llm_generated_program, length(llm_generated_program) - 1), llm_generated_program FROM applicants")
+@query(f"WITH n AS ({NAMES}) SELECT name, min(truth) AS standard FROM (SELECT name, truth FROM n UNION ALL SELECT truth, truth FROM n) GROUP BY name")
 def standardize_program(spark, sf_dir):
-    names = applicants(spark, sf_dir).select(F.col("llm_generated_program").alias("name")).distinct()
-    short = names.select(F.expr("left(name, length(name) - 1)").alias("name"))
-    return standardize.standardized_names(names.unionByName(short), names, "program")
+    known = dictionary(spark, sf_dir)
+    return standardize.standardized_names(names(spark, sf_dir).select("name").unionByName(known), known, "program")
 
 
 def model_replies(spark, sf_dir) -> DataFrame:
@@ -582,10 +581,14 @@ def dedupe_first(spark, sf_dir):
     return extract.first_by_id(e, "key", ("event_id",)).select("event_id", "user_id")
 
 
-@query(RAW + f", p AS (SELECT DISTINCT {PAGE} AS n FROM raw_entries), w AS (SELECT n + 1 AS step, n FROM p WHERE n < 96 AND n < 300) SELECT CAST(step AS INT) AS step, 'https://example.org/survey?page=' || CAST(n AS VARCHAR) AS url FROM w")
+@query(RAW + f", p AS (SELECT DISTINCT {PAGE} AS n FROM raw_entries), w AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS place, count(*) OVER () AS all_pages FROM p) "
+       "SELECT CAST(n + 1 AS INT) AS step, 'https://example.org/survey?page=' || CAST(n AS VARCHAR) AS url FROM w WHERE n = place AND n < greatest(2, all_pages * 3 // 4) - 1")
 def pagination_walk(spark, sf_dir):
-    pages = extract.next_links(survey_pages(spark, sf_dir)).select("url", "next_url", (~X.looks_blocked(F.col("html"))).alias("ok"))
-    return extract.walk(pages, "https://example.org/survey?page=0", 300)
+    """From the first page to the first blocked one, three quarters of the pages on."""
+    numbers = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 20").alias("n")).distinct()
+    found = survey_pages(spark, sf_dir, blocked_every=max(2, numbers.count() * 3 // 4))
+    pages = extract.next_links(found).select("url", "next_url", (~X.looks_blocked(F.col("html"))).alias("ok"))
+    return extract.walk(pages, "https://example.org/survey?page=0", 1 << 30)
 
 
 RULES = [("*", 1, "/result/1", False), ("*", 2, "/result/15", True), ("*", 3, "/result/2", False), ("bot", 1, "/", False)]
@@ -623,7 +626,7 @@ def json_rows_wrapper(spark, sf_dir):
     return records.read_json(spark, path, RECORD)
 
 
-@query(APPS + "SELECT DISTINCT llm_generated_university AS name FROM applicants WHERE llm_generated_university IS NOT NULL")
+@query(f"SELECT DISTINCT truth AS name FROM ({NAMES})")
 def dictionary_load(spark, sf_dir):
     path = folder(spark)
     dictionary(spark, sf_dir).select(F.explode(F.array(F.concat(F.lit("  "), "name", F.lit(" ")), F.lit("  "))).alias("value")).write.text(path)

@@ -105,6 +105,21 @@ def test_fuzzy_match_agrees_with_difflib(spark):
     assert {r.name: r.match for r in standardize.fuzzy_match(n, d, 0.86).collect()} == expected
 
 
+@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.86, 1.0])
+def test_fuzzy_match_loses_no_pair(spark, cutoff):
+    import difflib
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc ") for _ in range(r.randint(1, 14)))
+    edited = lambda w: "".join(r.choice(["", c, c, c, c, c, c, c + "b"]) for c in w)
+    entries = sorted({word() for _ in range(120)})
+    names = sorted({edited(w) for w in entries} | {word() for _ in range(60)})
+    expected = {x: max(((m.ratio(), e) for e in entries if (m := difflib.SequenceMatcher(None, e, x)).ratio() >= cutoff), default=(0, None))[1] if x else None for x in names}
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "name string")
+    assert {x.name: x.match for x in standardize.fuzzy_match(frame(names), frame(entries), cutoff).collect()} == expected
+
+
 def test_standardized_names(spark):
     d = spark.createDataFrame([("McGill University",), ("University of British Columbia",)], "name string")
     n = spark.createDataFrame([("Mcgil University",), ("UBC",), ("",), (None,), ("Other Place",)], "name string")
