@@ -29,6 +29,7 @@ from .common import SPACE_BYTES, Table, kept, slices, staged, text_bytes, word_s
 
 PIECES = "doc_id long, doc_row long, piece int, start long, length long, ids_crc32 long"
 BLOCK = 1 << 20  # bytes of text that are encoded together
+BLOCK_PIECES = 200_000  # of one length that are ranked together, at most in the mean
 #: Plain words, in lower case: the letters of most Latin scripts, digits, and the marks that begin no special token.
 LETTERS, MARKS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f", r"!-,./:;=?@\[-`{}~-"
 
@@ -202,8 +203,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def ranked(parts: DataFrame, blocks: int = 64) -> DataFrame:
-    """parts with rank, the number from 0 of each piece among those of its length."""
+def ranked(parts: DataFrame, blocks: int) -> DataFrame:
+    """parts with rank, the number from 0 of each piece among those of its length; each length is cut into so many blocks."""
     cut = parts.withColumn("block", F.pmod(F.xxhash64("doc_id", "doc_row"), F.lit(blocks)).cast("int"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("length", "block").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -234,4 +235,5 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 4096, end_id: int = 1) -
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), pa.array(sequence), pa.array(table[row, 4])], names)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked(parts).mapInArrow(place, kind)
+    blocks = max(64, sum(counts.values()) // BLOCK_PIECES)  # however common a length is, its blocks stay small
+    return ranked(parts, blocks).mapInArrow(place, kind)

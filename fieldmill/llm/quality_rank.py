@@ -60,8 +60,8 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fold(doc_id: str, n: int) -> Column:
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(F.col(doc_id).cast("string")) % n
+    """crc32 of the id as text, modulo n; a null id is the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample_size: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A text's character classes and its common words are compared with those of all texts in its language by
 Jensen-Shannon distance. Only DataFrame functions are used. The references are sums over the whole corpus, so they
-cost one shuffle of a few rows per task. A language is a value of the column lang; their number has to be small, as it
-is for names of languages.
+cost one shuffle of a few rows per task. A language is a value of the column lang. The references are written, so Spark
+knows their size and sends them to all tasks only while they are small.
 
 Nulls: a null text has no words and fails the base rules; a null language shares one reference of its own. A text
 below the minimum lengths is left to the base rules alone.
@@ -150,7 +150,7 @@ def judge(
     references and the verdict come from them.
     """
     counts = staged(base_counts(docs, common=common), "rules")
-    both = counts.join(F.broadcast(references(counts, common)), "lang", "left")  # a row for each language
+    both = counts.join(staged(references(counts, common), "references"), "lang", "left")  # sent to all tasks if its written size allows it
     measured = both.select(
         "*",
         F.when(F.col("n_chars") >= min_chars, distance(F.col("classes"), F.col("class_ref"))).alias("class_distance"),

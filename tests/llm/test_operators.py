@@ -316,6 +316,14 @@ def test_packing(docs):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 1)  # as many blocks as pieces
+    df = table(spark, ["one two", "one two", None, "", "word " * 500], [1, 1, None, None, 2]).withColumn("rank", F.lit("mine"))
+    rows = packing.pack(df, P.path("word_bpe_49k.json"), capacity=64).collect()
+    assert collections.Counter(r.doc_id for r in rows if r.doc_id != 2) == {1: 2, None: 2}
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 # 6 and 10
 
 
@@ -502,6 +510,9 @@ def test_quality_rules_judge_divergence(spark):
     assert quality_rules.judge(table(spark, [])).count() == 0
     nulls = table(spark, [clean[0]]).withColumn("lang", F.lit(None).cast("string"))
     assert quality_rules.judge(nulls).count() == 1
+    again = table(spark, [clean[0], clean[0], None, "a b " * 200_000], [1, 1, None, 2]).withColumn("classes", F.lit(0))
+    got = quality_rules.judge(again).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in got) == [(0, 0), (1, 150), (1, 150), (2, 400_000)]
 
 
 # 9

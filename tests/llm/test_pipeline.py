@@ -38,3 +38,21 @@ def test_stages(spark):
         if name == "packing":
             assert ids == set(before)
         docs = after
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and ids, other columns, and no rows at all."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    kind = docs.schema
+    odd = [(None, None, None, None, None), (None, "", "en", "web", 0), (3, None, "en", None, None), (3, None, "en", None, None), (3, "a b", None, "web", 3)]
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    names = docs.columns
+    extra = spark.createDataFrame([dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r)) for r in odd], kind).select(names)
+    mixed = docs.unionByName(docs).unionByName(extra).selectExpr("*", "1 as key", "'x' as component", "2 as score")
+    for name, df, known in (("mixed", mixed, labels), ("none", docs.limit(0), labels), ("unlabelled", docs, labels.limit(0))):
+        folder = str(tmp_path / name)
+        df.write.parquet(f"{folder}/documents.parquet")
+        known.write.parquet(f"{folder}/labels.parquet")
+        rows = pipeline.run(spark, folder).collect()
+        assert bool(rows) == (name != "none")
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in df.select("doc_id").collect()}
