@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: the six ASCII characters.
@@ -98,9 +98,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
                 yield batch.slice(a, b - a)
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every run of bytes other than ASCII white space; none reaches across the end of a text."""
-    word = ~_is_space[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _is_space) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes other than those between words (ASCII white space); none reaches across the end of a text."""
+    word = ~between[raw]
     begins = np.append(True, ~word[:-1])[: len(word)]
     begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
     stops = np.append(begins[1:] | ~word[1:], True)[: len(word)]
@@ -278,6 +278,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     return staged(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
+def running(rows: DataFrame, group: str, order: tuple[str, ...], value: str, groups: DataFrame | None = None) -> DataFrame:
+    """rows with before (the sum of value over the earlier rows of their group, in the order given, nulls first), total (their group's) and row (a number of their own).
+
+    group is never null. Rows are dealt by ranges of group and order and written, so a group of any size is spread over
+    many ranges: sums run within a range, and the ranges' own sums give each its start. groups may bring further
+    columns for each group; they come with those starts, so that no join has all rows of a group on one key.
+    """
+    by = [F.asc_nulls_first(c) for c in (group, *order)]
+    ranged = staged(rows.repartitionByRange(*by).withColumns({"_range": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "ranges")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range", group).agg(F.sum(value).alias("_sum"))  # a row for each range, and one more for each group that begins in it
+    starts = sums.withColumns({"_start": F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(group).orderBy("_range"))), F.lit(0)), "total": F.sum("_sum").over(Window.partitionBy(group))})
+    if groups is not None:
+        starts = starts.join(groups, group)
+    own = Window.partitionBy("_range", group).orderBy(*by[1:], "row")
+    within = ranged.withColumn("before", F.coalesce(F.sum(value).over(earlier(own)), F.lit(0)))
+    found = within.join(starts.drop("_sum"), ["_range", group])
+    return found.withColumn("before", F.col("before") + F.col("_start")).drop("_range", "_start")
+
+
 def compressed(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns named and z, the text's bytes compressed, for shuffles that carry whole texts."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

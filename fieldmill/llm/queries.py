@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, quality_rank, quality_rules, spotsigs, sql, suffix_dedup, token_counts, toxicity, warc
+from . import bpe, lexical_search, merkle, mixing, ngram_join, packing, quality_rank, quality_rules, spotsigs, sql, suffix_dedup, token_counts, toxicity, warc
 from .common import read, shared_dir
 
 
@@ -65,10 +66,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.score(docs, model).withColumn("held_out", quality_rank.fold("doc_id", 3) == 1)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=10)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered)
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.by_document(mixing.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_join, op2_token_counts, op3_suffix_dedup, op4_document_fingerprints, op5_bpe,
         op6_toxicity, op7_packing, op8_quality_rules, op9_warc, op10_quality_classifier,
+        op11_lexical_search, op12_merkle_manifest, op13_source_mix,
     )
     return {f.__name__: f for f in found}
 
@@ -80,4 +95,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_document_fingerprints": sql.fingerprints(),
         "op8_quality_rules": sql.quality_rules(),
         "op9_warc": sql.WARC,
+        "op11_lexical_search": sql.lexical_search(10),
+        "op12_merkle_manifest": sql.merkle_manifest(),
+        "op13_source_mix": sql.source_mix((5, 2, 1), 3),
     }

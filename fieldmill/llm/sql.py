@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import string
 
+from .lexical_search import TERM
 from .quality_rules import CLASSES, COMMON
 from .spotsigs import ANCHORS
 
@@ -84,3 +85,76 @@ WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)"""
+
+
+def lexical_search(top: int = 10) -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{TERM}')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {terms} AS t FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+i AS (SELECT item_id, unnest(list_distinct({terms})) AS term FROM benchmark),
+p AS (SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT item_id, term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM i JOIN f USING (term) CROSS JOIN s),
+g AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score FROM w JOIN p USING (term) CROSS JOIN s GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM g WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {top}"""
+
+
+def merkle_manifest(arity: int = 8, heights: int = 12) -> str:
+    """A level for each of so many heights; levels above a tree's root repeat it."""
+    part = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(part, ("doc_id", "source", "lang", "n_chars")), part(text)]) + ")"
+    small = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    bits = "list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc32 = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+    run = "PARTITION BY tree, i // {a} ORDER BY i ROWS BETWEEN {w}"
+    sides = ", ".join(f"coalesce(string_agg(d, '') OVER ({run.format(a=arity, w=w)}), '') AS {c}" for c, w in (("l", "UNBOUNDED PRECEDING AND 1 PRECEDING"), ("r", "1 FOLLOWING AND UNBOUNDED FOLLOWING")))
+
+    def tree(name: str, of: str) -> str:
+        """Levels name0 to nameH with sides from the rows of (tree, i, d)."""
+        out = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n, {sides} FROM {of})"]
+        for k in range(heights):
+            up = f"SELECT tree, i // {arity} AS i, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k} GROUP BY tree, i // {arity}"
+            out.append(f"{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n, {sides} FROM ({up}))")
+        return ",\n".join(out)
+
+    def climb(name: str, source: str, out: str, where: str) -> str:
+        """source with proof and folded taken up through the levels of name; where gives the tree and place of a row."""
+        steps, last = [], source
+        for k in range(heights):
+            t = f"{out}{k + 1}"
+            folded = "CASE WHEN u.n > 1 THEN sha256(u.l || x.folded || u.r) ELSE x.folded END AS folded"
+            steps.append(f"{t} AS (SELECT x.* REPLACE (x.proof || u.l || u.r AS proof, {folded}) FROM {last} x JOIN {name}{k} u ON {where.format(k=arity**k)})")
+            last = t
+        return ",\n".join(steps)
+
+    return f"""
+WITH a AS (SELECT doc_id, coalesce(':' || lang, '-') AS tree, {leaf("text")} AS leaf, CASE WHEN ({crc32}) % 3 = 0 THEN {leaf(small)} END AS changed FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM a),
+o AS (SELECT tree, i, leaf AS d FROM b),
+{tree("t", "o")},
+q AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, d, tree AS lang_tree FROM t{heights}),
+{tree("s", "(SELECT tree, i, d FROM q)")},
+x AS (SELECT doc_id, tree, i, leaf, '' AS proof, coalesce(changed, leaf) AS folded FROM b),
+{climb("t", "x", "y", "u.tree = x.tree AND u.i = x.i // {k}")},
+z AS (SELECT y.*, q.i AS place, q.d AS subroot FROM y{heights} y JOIN q ON q.lang_tree = y.tree),
+{climb("s", "z", "v", "u.i = x.place // {k}")}
+SELECT doc_id, leaf, subroot, s.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = s.d AS verified FROM v{heights} CROSS JOIN s{heights} s"""
+
+
+def source_mix(weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> str:
+    weight = "CASE place % {n} {w} END".format(n=len(weights), w=" ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(weights)))
+    taken = " + ".join(f"greatest(0, least(CAST(floor(target) AS BIGINT) - ({k} * source_size + before), size))" for k in range(most))
+    copies = " + ".join(f"CASE WHEN size > 0 AND floor(target) > {k} * source_size + before THEN 1 ELSE 0 END" for k in range(most))
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len({SPLIT.format(t="coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, {weight} AS w, {most} * source_size AS most FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s)),
+o AS (SELECT *, CAST(sum(source_size) OVER () - (sum(most) OVER (ORDER BY most / w, place) - most) AS BIGINT) AS left_over, CAST(sum(w) OVER (ORDER BY most / w DESC, place DESC) AS BIGINT) AS weights FROM p),
+c AS (SELECT *, most * weights < left_over * w AS stopped FROM o),
+l AS (SELECT CAST(sum(source_size) - coalesce(sum(most) FILTER (WHERE stopped), 0) AS BIGINT) AS rest, CAST(sum(w) FILTER (WHERE NOT stopped) AS BIGINT) AS w FROM c),
+t AS (SELECT source, source_size, CASE WHEN stopped THEN CAST(most AS DOUBLE) ELSE CAST(l.rest AS DOUBLE) * c.w / l.w END AS target FROM c CROSS JOIN l),
+b AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY left(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 16), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST({taken} AS BIGINT) AS taken, CAST({copies} AS BIGINT) AS copies FROM b"""
