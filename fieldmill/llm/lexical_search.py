@@ -32,7 +32,7 @@ from .common import distinct_spans, nothing_kept, slices, staged, text_bytes, wo
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # ASCII letters and digits, and all beyond ASCII
 BLOCK = 1 << 20  # bytes of text that a task looks at together
-POSTINGS = 1 << 21  # entries of the index that it scores together
+POSTINGS = 1 << 21  # entries of the index that are scored together
 _between = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -148,7 +148,7 @@ class Batch:
         return docs[keep], scores[keep]
 
 
-def best_of(rows: DataFrame, items: list[tuple[int, int | None, list[int]]], weights: np.ndarray, documents: int, total: int, top: int) -> DataFrame:
+def best_of(rows: DataFrame, items: list[tuple[int, int | None, list[int]]], weights: np.ndarray, documents: int, total: int, top: int, postings: int) -> DataFrame:
     """place, item_id, doc_id and score of the best documents of each item in each task, from an index."""
     wanted = [(p, i, np.array([t for t in terms if weights[t] > 0], np.int64)) for p, i, terms in items]
     shared = rows.sparkSession.sparkContext.broadcast(([w for w in wanted if len(w[2])], weights))
@@ -174,7 +174,7 @@ def best_of(rows: DataFrame, items: list[tuple[int, int | None, list[int]]], wei
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = np.cumsum(batch.column("terms").value_lengths().to_numpy()) // POSTINGS
+            part = np.cumsum(batch.column("terms").value_lengths().to_numpy()) // postings
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 look(batch.slice(a, b - a))
@@ -185,7 +185,7 @@ def best_of(rows: DataFrame, items: list[tuple[int, int | None, list[int]]], wei
     return rows.mapInArrow(run, FOUND)
 
 
-def search(docs: DataFrame, items: DataFrame, *, top: int = 10, most_terms: int = 16_384) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, *, top: int = 10, most_terms: int = 16_384, postings: int = POSTINGS) -> DataFrame:
     """item_id, rank (from 1), doc_id and score: each item's best documents with a score above 0, equal scores by ascending doc_id.
 
     docs has doc_id and text, items item_id and text; other columns take no part.
@@ -200,7 +200,7 @@ def search(docs: DataFrame, items: DataFrame, *, top: int = 10, most_terms: int
             continue
         found = {r.term: r.df for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toLocalIterator()}  # one portion's terms
         weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * found[k] + 1))) if k in found else 0 for k in range(len(vocabulary))], np.int64)
-        parts.append(best_of(rows, [(p, i, [place[t] for t in terms]) for p, i, terms in portion], weights, documents, total, top))
+        parts.append(best_of(rows, [(p, i, [place[t] for t in terms]) for p, i, terms in portion], weights, documents, total, top, postings))
     if not parts:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     found = parts[0]

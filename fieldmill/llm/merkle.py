@@ -1,6 +1,6 @@
 """A Merkle manifest of a dataset: a tree of digests for each language, one over their roots, and a proof for every row.
 
-The log. Leaves are ranked within their tree by exact ranks of ranges. Every SPAN (ARITY ** HEIGHT) consecutive leaves go
+The log. Leaves are ranked within their tree by exact ranks of ranges. Every ARITY ** height consecutive leaves go
 to one builder, which writes the nodes of its subtree in the order in which they are completed, children before parents
 (postorder). The builders' top nodes are the leaves of the next round, until one builder sees all of a tree; the trees'
 roots are the leaves of a last one. A round's log is appended in whole subtrees of one size, so a node's place in it
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import nothing_kept, running, staged
 
-ARITY, HEIGHT = 8, 4
-SPAN = ARITY**HEIGHT
+ARITY = 8
+HEIGHT = 4  # of a builder's subtree
 FIELDS = ("doc_id", "source", "lang", "n_chars")
 LEAVES = "tree string, rank long, n long, digest string"
 PART = "tree string, part long, n long, first long, nodes binary, digest string"
@@ -40,11 +40,11 @@ def levels(leaves: int, height: int) -> list[int]:
     return [-(-leaves // ARITY**k) for k in range(height + 1)]
 
 
-def height_of(leaves: int, whole: int) -> int:
-    """The height of a builder's subtree over its leaves; whole is the number of leaves of the tree in this round."""
-    if whole > SPAN:
-        return HEIGHT
-    return next(k for k in range(HEIGHT + 1) if leaves <= ARITY**k)
+def height_of(leaves: int, whole: int, most: int) -> int:
+    """The height of a builder's subtree over its leaves; whole is the number of leaves of the tree in this round, most the height where they are too many for one builder."""
+    if whole > ARITY**most:
+        return most
+    return next(k for k in range(most + 1) if leaves <= ARITY**k)
 
 
 def position(level: int, index: int, leaves: int, height: int) -> int:
@@ -97,36 +97,37 @@ def fold(leaf: str, path: list[tuple[str, str]]) -> str:
     return leaf
 
 
-def part_of() -> Column:
-    return F.floor(F.col("rank") / SPAN).alias("part")
+def part_of(span: int) -> Column:
+    return F.floor(F.col("rank") / span).alias("part")
 
 
-def grown(leaves: DataFrame) -> DataFrame:
+def grown(leaves: DataFrame, height: int) -> DataFrame:
     """A round: from leaves (tree, rank, n of the tree, digest) one row for each builder with its part of the log and its top node."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
         tree, rank, n = (table.column(c)[0].as_py() for c in ("tree", "rank", "n"))
         own = table.column("digest").to_pylist()
-        log = completed(own, height_of(len(own), n))
-        part, size = rank // SPAN, sum(levels(SPAN, HEIGHT))
+        log = completed(own, height_of(len(own), n, height))
+        part, size = rank // ARITY**height, sum(levels(ARITY**height, height))
         return pa.table([[tree], pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([part * size], pa.int64()), pa.array([bytes.fromhex("".join(log))], pa.binary()), [log[-1]]], [f.split()[0] for f in PART.split(", ")])
 
-    return leaves.select("tree", "rank", "n", "digest").groupBy("tree", part_of()).applyInArrow(run, PART)
+    return leaves.select("tree", "rank", "n", "digest").groupBy("tree", part_of(ARITY**height)).applyInArrow(run, PART)
 
 
-def build(leaves: DataFrame) -> list[DataFrame]:
+def build(leaves: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     """The written rounds of all trees, the first one first. A tree's root is the digest of its only part in its last round."""
-    rounds = [staged(grown(leaves), "merkle-log")]
-    while not rounds[-1].filter(F.col("n") > SPAN).isEmpty():
-        tops = rounds[-1].filter(F.col("n") > SPAN).select("tree", F.col("part").alias("rank"), F.ceil(F.col("n") / SPAN).alias("n"), "digest")
-        rounds.append(staged(grown(tops), "merkle-log"))
+    span = ARITY**height
+    rounds = [staged(grown(leaves, height), "merkle-log")]
+    while not rounds[-1].filter(F.col("n") > span).isEmpty():
+        tops = rounds[-1].filter(F.col("n") > span).select("tree", F.col("part").alias("rank"), F.ceil(F.col("n") / span).alias("n"), "digest")
+        rounds.append(staged(grown(tops, height), "merkle-log"))
     return rounds
 
 
-def roots(rounds: list[DataFrame]) -> DataFrame:
+def roots(rounds: list[DataFrame], height: int = HEIGHT) -> DataFrame:
     """tree and digest."""
-    found = [r.filter(F.col("n") <= SPAN).select("tree", "digest") for r in rounds]
+    found = [r.filter(F.col("n") <= ARITY**height).select("tree", "digest") for r in rounds]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -138,7 +139,7 @@ def _nodes(packed: bytes) -> list[str]:
     return [whole[a : a + 64] for a in range(0, len(whole), 64)]
 
 
-def paths(parts: DataFrame) -> DataFrame:
+def paths(parts: DataFrame, height: int = HEIGHT) -> DataFrame:
     """tree, rank, path and subroot of all leaves of a round, from its parts (tree, part, n, nodes, path above the part, subroot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,27 +147,28 @@ def paths(parts: DataFrame) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())])), pa.string())
         for batch in batches:
             for tree, part, n, packed, path, subroot in zip(*(batch.column(c).to_pylist() for c in ("tree", "part", "n", "nodes", "path", "subroot"))):
-                nodes, leaves = _nodes(packed), min(SPAN, n - part * SPAN)
-                sides = siblings(nodes, leaves, height_of(leaves, n))
+                first = part * ARITY**height
+                nodes, leaves = _nodes(packed), min(ARITY**height, n - first)
+                sides = siblings(nodes, leaves, height_of(leaves, n, height))
                 above = [(p["before"], p["after"]) for p in path]
                 for at in range(0, leaves, 256):
                     some = range(at, min(leaves, at + 256))
                     out = [[dict(zip(("before", "after"), s[k // ARITY**level])) for level, s in enumerate(sides)] + [dict(zip(("before", "after"), a)) for a in above] for k in some]
-                    columns = [[tree] * len(some), [part * SPAN + k for k in some], out, [subroot] * len(some)]
+                    columns = [[tree] * len(some), [first + k for k in some], out, [subroot] * len(some)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["tree", "rank", "path", "subroot"])
 
     return parts.select("tree", "part", "n", "nodes", "path", "subroot").mapInArrow(run, f"tree string, rank long, {PATH}, subroot string")
 
 
-def with_paths(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def with_paths(rounds: list[DataFrame], above: DataFrame, height: int = HEIGHT) -> DataFrame:
     """The parts of the first round with the path above each; above has path and subroot for each tree."""
-    handed: DataFrame | None = None
+    handed, span = None, ARITY**height
     for k in reversed(range(len(rounds))):
-        tops = rounds[k].filter(F.col("n") <= SPAN).join(above, "tree")
+        tops = rounds[k].filter(F.col("n") <= span).join(above, "tree")
         if handed is not None:
-            tops = tops.unionByName(rounds[k].filter(F.col("n") > SPAN).join(handed.withColumnRenamed("rank", "part"), ["tree", "part"]))
+            tops = tops.unionByName(rounds[k].filter(F.col("n") > span).join(handed.withColumnRenamed("rank", "part"), ["tree", "part"]))
         if k:
-            handed = staged(paths(tops), "merkle-paths")
+            handed = staged(paths(tops, height), "merkle-paths")
     return tops
 
 
@@ -180,7 +182,7 @@ def leaf_of(text: Column) -> Column:
     return F.sha2(F.concat(*(encoded(F.col(c)) for c in FIELDS), encoded(text)).cast("binary"), 256)
 
 
-def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column, *, height: int = HEIGHT) -> DataFrame:
     """Every row's place in the manifest and whether it would still be proved after a change.
 
     Returns doc_id, leaf, subroot, root, proof_sha256 (of all siblings on the way to the root), and folded_root and
@@ -193,23 +195,23 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
         F.when(F.coalesce(tampered, F.lit(False)), leaf_of(small)).alias("changed"), F.lit(1).alias("one"),
     )
     ranked = staged(running(rows, "tree", ("doc_id", "digest"), "one").select("tree", F.col("before").alias("rank"), F.col("total").alias("n"), "doc_id", "digest", "changed"), "merkle-leaves")
-    rounds = build(ranked)
-    subroots = running(roots(rounds).select(F.lit("").alias("all"), F.col("tree").alias("lang_tree"), "digest", F.lit(1).alias("one")), "all", ("lang_tree",), "one")
+    rounds = build(ranked, height)
+    subroots = running(roots(rounds, height).select(F.lit("").alias("all"), F.col("tree").alias("lang_tree"), "digest", F.lit(1).alias("one")), "all", ("lang_tree",), "one")
     subroots = staged(subroots.select(F.col("all").alias("tree"), F.col("before").alias("rank"), F.col("total").alias("n"), "lang_tree", "digest"), "merkle-subroots")
-    last = build(subroots)
-    top = roots(last).first()  # one row
+    last = build(subroots, height)
+    top = roots(last, height).first()  # one row
     root = top.digest if top else None
     no_path = subroots.sparkSession.createDataFrame([("", [], root)], f"tree string, {PATH}, subroot string")
-    whole = paths(with_paths(last, no_path)).select("tree", "rank", "path")
+    whole = paths(with_paths(last, no_path, height), height).select("tree", "rank", "path")
     above = staged(subroots.join(whole, ["tree", "rank"]).select(F.col("lang_tree").alias("tree"), "path", F.col("digest").alias("subroot")), "merkle-paths")
-    parts = with_paths(rounds, above)
+    parts = with_paths(rounds, above, height)
     kind = dict(docs.dtypes)["doc_id"]
 
     def prove(leaves: pa.Table, part: pa.Table) -> pa.Table:
         leaves = leaves.sort_by("rank")
         n, nodes, path, subroot = (part.column(c)[0].as_py() for c in ("n", "nodes", "path", "subroot"))
         own, changed = leaves.column("digest").to_pylist(), leaves.column("changed").to_pylist()
-        sides = siblings(_nodes(nodes), len(own), height_of(len(own), n))
+        sides = siblings(_nodes(nodes), len(own), height_of(len(own), n, height))
         above = [(p["before"], p["after"]) for p in path]
         rest = "".join(a + b for a, b in above)
         proofs, folded = [], []
@@ -220,5 +222,5 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
         columns = [leaves.column("doc_id"), pa.array(own), pa.array([subroot] * len(own), pa.string()), pa.array(proofs), pa.array(folded)]
         return pa.table(columns, ["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
 
-    proved = ranked.groupBy("tree", part_of()).cogroup(parts.groupBy("tree", "part")).applyInArrow(prove, f"doc_id {kind}, leaf string, subroot string, proof_sha256 string, folded_root string")
+    proved = ranked.groupBy("tree", part_of(ARITY**height)).cogroup(parts.groupBy("tree", "part")).applyInArrow(prove, f"doc_id {kind}, leaf string, subroot string, proof_sha256 string, folded_root string")
     return proved.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
