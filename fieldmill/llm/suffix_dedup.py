@@ -6,13 +6,14 @@ windows with one file is a segment, the unit of the first round:
 
 1. Blocks of documents: segments that share a file are suffix-sorted. The sort is a mergesort whose comparisons find the
    common extension of two suffixes by binary search over prefix polynomial hashes; neighbours that come out equal are
-   compared byte by byte. All but the first of equal segments are repeats, and one of each goes on.
+   compared byte by byte. All but the first of equal segments are repeats, and one of each goes on. Windows within a
+   segment are told apart alike: hashes bring them together, bytes decide.
 2. The segments of all blocks meet by file, sorted, and stream past: all but the first of equal ones are repeats. Equal
    is here who has the file and, verified on all its bytes, the BLAKE2b digest of another. A segment that shares its
    file with different ones only has to be looked at window by window.
-3. Those few are read again. Their bytes meet by file, and their windows are told apart by two 64-bit hashes of their
-   two halves, which are too short for the structured collisions that hashes modulo 2**64 have. Where a file has more kinds than a task should hold, windows instead of segments are sent, and meet by
-   those hashes as segments did before.
+3. Those few are read again. Their bytes meet by file, and windows with the same hashes are compared byte by byte. Where a
+   file has more kinds than a task should hold, windows instead of segments are sent, under 128 bits of their BLAKE2b
+   digests, and meet as segments did before.
 4. Each document's repeats are joined with its text and cut out.
 
 A block sends one segment of each kind at most, so a passage that a third of all documents hold, or thousands of copies,
@@ -61,7 +62,9 @@ class Suffixes:
             else:
                 low = at
             at = (low + high + 1) // 2
-        return low
+        if self.raw[a : a + low] == self.raw[b : b + low]:
+            return low
+        return next(k for k in range(low) if self.raw[a + k] != self.raw[b + k])  # different bytes of one hash
 
     def compare(self, x: tuple[int, int], y: tuple[int, int]) -> int:
         """The order of two suffixes (start, limit): by bytes, then the shorter first."""
@@ -150,26 +153,59 @@ def _repeats(key: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Recor
     return _rows(mix(key.astype(np.uint64)), length, key, start, np.zeros(len(key), np.int64))
 
 
-def _documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def _documents(batches: Iterator[pa.RecordBatch], window: int, block: int, long: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(bytes, offsets, keys, position of the first byte) of blocks of documents; only long ones don't start at 0."""
-    for batch in slices(batches, "text", BLOCK):
+    for batch in slices(batches, "text", block):
         raw, offsets = text_bytes(batch.column("text"))
         keys = batch.column("key").to_numpy()
-        if len(raw) <= LONG:
+        if len(raw) <= long:
             yield raw, offsets, keys, 0
             continue
         for a, b, key in zip(offsets[:-1].tolist(), offsets[1:].tolist(), keys):
-            for at in range(a, max(a + 1, b - window + 1), LONG):
-                part = raw[at : min(b, at + LONG + window - 1)]
+            for at in range(a, max(a + 1, b - window + 1), long):
+                part = raw[at : min(b, at + long + window - 1)]
                 yield part, np.array([0, len(part)]), np.array([key]), at - a
 
 
-def block_segments(docs: DataFrame, window: int, piece: int) -> DataFrame:
+def halves(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window: of its first half and of its second."""
+    half = at + window // 2
+    return mix(span_hashes(h, at, half)), mix(span_hashes(h, half, at + window) + np.uint64(1))
+
+
+def repeated(raw: np.ndarray, at: np.ndarray, window: int, group: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+    """Which of the windows at these places equal an earlier one in the list that has the same group.
+
+    Hashes bring equal windows together; each is then compared, byte by byte, with the first that has its hashes, and
+    where bytes differ all of that first one's windows are told apart by their bytes.
+    """
+    again = np.zeros(len(at), bool)
+    if len(at) < 2:
+        return again
+    one, two = halves(prefix_hashes(raw) if h is None else h, at, window)
+    order = np.lexsort((np.arange(len(at)), two, one, group))
+    new = np.append(True, (group[order][1:] != group[order][:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))][~new]
+    later = order[~new]
+    views = np.lib.stride_tricks.sliding_window_view(raw, window)
+    for a in range(0, len(later), 1 << 15):
+        again[later[a : a + (1 << 15)]] = (views[at[later[a : a + (1 << 15)]]] == views[at[first[a : a + (1 << 15)]]]).all(axis=1)
+    odd = np.isin(first, first[~again[later]])
+    for leader in np.unique(first[odd]).tolist():
+        seen = {raw[at[leader] : at[leader] + window].tobytes()}
+        for k in later[first == leader].tolist():
+            body = raw[at[k] : at[k] + window].tobytes()
+            again[k] = body in seen
+            seen.add(body)
+    return again
+
+
+def block_segments(docs: DataFrame, window: int, piece: int, block: int, long: int) -> DataFrame:
     """Round 1: of each block, one of each kind of segment, and the repeats among its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_kept()
-        for raw, offsets, keys, base in _documents(batches, window):
+        for raw, offsets, keys, base in _documents(batches, window, block, long):
             start, n, file, inner, h = segments(raw, offsets, window, piece)
             if not len(start):
                 continue
@@ -198,10 +234,7 @@ def block_segments(docs: DataFrame, window: int, piece: int) -> DataFrame:
             if inner.any():
                 own = np.repeat(np.flatnonzero(inner), n[inner])
                 k = np.arange(len(own)) - np.repeat(np.cumsum(n[inner]) - n[inner], n[inner])
-                one, two = halves(h, start[own] + k, window)
-                order = np.lexsort((k, two, one, own))
-                a, b = order[1:], order[:-1]
-                again = a[(own[a] == own[b]) & (one[a] == one[b]) & (two[a] == two[b])]
+                again = np.flatnonzero(repeated(raw, start[own] + k, window, own, h))
                 yield _repeats(key[own[again]], at[own[again]] + k[again], np.full(len(again), window, np.int64))
 
     return docs.select("key", "text").mapInArrow(run, SEGMENT)
@@ -268,13 +301,7 @@ def unpacked(batch: pa.RecordBatch, column: str = "z") -> list[bytes]:
     return [undo.decompress(z.as_py()) for z in batch.column(column)]
 
 
-def halves(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window: of its first half and of its second."""
-    half = at + window // 2
-    return mix(span_hashes(h, at, half)), mix(span_hashes(h, half, at + window) + np.uint64(1))
-
-
-def closer_rows(texts: DataFrame, looks: DataFrame, window: int, most: int) -> DataFrame:
+def closer_rows(texts: DataFrame, looks: DataFrame, window: int, most: int, block: int) -> DataFrame:
     """Round 3's rows: segments with their bytes, and the windows of segments whose file has more than most kinds."""
     hot = looks.groupBy("file").count().filter(F.col("count") > most).select("file", F.lit(True).alias("hot"))
     marked = looks.join(hot, "file", "left").select("key", F.struct("start", "n", "file", F.coalesce("hot", F.lit(False)).alias("hot")).alias("look"))
@@ -286,25 +313,28 @@ def closer_rows(texts: DataFrame, looks: DataFrame, window: int, most: int) -> D
             return pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, "bytes"])
 
         def windows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            one, two, key, start = (np.concatenate(p) for p in zip(*parts))
-            order = np.lexsort((start, key, two, one))
-            one, two, key, start = one[order], two[order], key[order], start[order]
-            again = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))
-            new = ~again
-            yield given(_rows(one[new], two[new], key[new], start[new], np.ones(new.sum(), np.int64)))
+            parts = sorted(parts, key=lambda p: p[0])  # keys are in the order of documents
+            raw = np.concatenate([p[2] for p in parts])
+            base = np.cumsum([0, *(len(p[2]) for p in parts[:-1])])
+            key = np.concatenate([np.full(len(p[1]), p[0], np.int64) for p in parts])
+            start = np.concatenate([p[1] for p in parts])
+            at = np.concatenate([p[1] + b for p, b in zip(parts, base)])
+            again = repeated(raw, at, window, np.zeros(len(at), np.int64))
+            new, body = ~again, raw.tobytes()
+            digests = np.frombuffer(b"".join(hashlib.blake2b(body[a : a + window], digest_size=16).digest() for a in at[new].tolist()), np.uint64)
+            yield given(_rows(digests[::2], digests[1::2], key[new], start[new], np.ones(new.sum(), np.int64)))
             if again.any():
                 yield given(_repeats(key[again], start[again], np.full(again.sum(), window, np.int64)))
 
         parts, size = [], 0
-        for batch in slices(batches, "z", BLOCK):
+        for batch in slices(batches, "z", block):
             cold: list[tuple] = []
             for text, key, look in zip(unpacked(batch), batch.column("key").to_pylist(), batch.column("looks").to_pylist()):
                 cold += [(x["file"], 0, key, x["start"] << SHIFT | x["n"], text[x["start"] : x["start"] + x["n"] + window - 1]) for x in look if not x["hot"]]
                 if hot_ones := [np.arange(x["start"], x["start"] + x["n"]) for x in look if x["hot"]]:
-                    at = np.concatenate(hot_ones)
-                    parts.append((*halves(prefix_hashes(np.frombuffer(text, np.uint8)), at, window), np.full(len(at), key), at))
-                    size += len(at)
-                if size > 500_000:
+                    parts.append((key, np.sort(np.concatenate(hot_ones)), np.frombuffer(text, np.uint8)))
+                    size += len(parts[-1][1]) + len(text)
+                if size > 2_000_000:
                     yield from windows(parts)
                     parts, size = [], 0
             if cold:
@@ -323,14 +353,12 @@ def closer(rows: DataFrame, window: int) -> DataFrame:
     def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
         file, key, place = (batch.column(c).to_numpy() for c in ("file", "key", "place"))
         raw, offsets = text_bytes(batch.column("bytes"))
-        h, n = prefix_hashes(raw), place & ((1 << SHIFT) - 1)
+        n = place & ((1 << SHIFT) - 1)
         own = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        one, two = halves(h, offsets[:-1][own] + k, window)
         start = (place >> SHIFT)[own] + k
-        order = np.lexsort((start, key[own], two, one, file[own]))
-        a, b = order[1:], order[:-1]
-        again = a[(file[own[a]] == file[own[b]]) & (one[a] == one[b]) & (two[a] == two[b])]
+        order = np.lexsort((start, key[own]))
+        again = order[repeated(raw, (offsets[:-1][own] + k)[order], window, file[own][order])]
         return _found(*runs(key[own[again]], start[again], np.full(len(again), window, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,26 +388,28 @@ def closer(rows: DataFrame, window: int) -> DataFrame:
     return ordered.mapInArrow(run, FOUND)
 
 
-def repeats(docs: DataFrame, *, window: int = 100, piece: int = 28, most: int = 5000) -> DataFrame:
+def repeats(docs: DataFrame, *, window: int = 100, piece: int = 28, most: int = 5000, block: int = BLOCK, long: int = LONG) -> DataFrame:
     """key, start, n: intervals of bytes to remove, which may overlap, for docs with key and text."""
-    found = staged(meet(block_segments(docs, window, piece), window), "segments")
+    found = staged(meet(block_segments(docs, window, piece, block, long), window), "segments")
     looks = found.filter("not repeat").select("file", "key", "start", "n")
-    near = closer(closer_rows(compressed(docs, "key"), looks, window, most), window).filter("repeat")
+    near = closer(closer_rows(compressed(docs, "key"), looks, window, most, block), window).filter("repeat")
     return found.filter("repeat").unionByName(near).select("key", "start", "n")
 
 
-def dedup(docs: DataFrame, *, window: int = 100, piece: int = 28, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def dedup(docs: DataFrame, *, window: int = 100, piece: int = 28, columns: tuple[str, ...] = ("doc_id",), most: int = 5000, block: int = BLOCK, long: int = LONG) -> DataFrame:
     """The columns named, and n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes as text).
 
+    most, block and long bound what a task looks at together: kinds of a file, bytes of a block, bytes of a document before it is cut.
+
     Bytes of a character that is cut in two become U+FFFD in kept, but not in kept_sha256.
     """
     rows = keyed(docs)
-    cuts = repeats(rows, window=window, piece=piece).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    cuts = repeats(rows, window=window, piece=piece, most=most, block=block, long=long).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     whole = compressed(rows, "key", *columns).join(cuts, "key", "left").select(*columns, "z", "cuts")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z", BLOCK):
+        for batch in slices(batches, "z", block):
             out = []
             for text, cut in zip(unpacked(batch), batch.column("cuts").to_pylist()):
                 spans = []

@@ -156,17 +156,37 @@ def removed(rows, window=100):
     return out
 
 
-@pytest.mark.parametrize("most, block", [(5000, 2 << 20), (1, 3000)])
-def test_suffix_dedup(docs, monkeypatch, most, block):
+@pytest.mark.parametrize("most, block, long", [(5000, 2 << 20, 4 << 20), (1, 3000, 6000), (0, 200, 150), (5000, 200, 150)])
+def test_suffix_dedup(docs, most, block, long):
     df, texts = docs
-    whole = suffix_dedup.repeats
-    monkeypatch.setattr(suffix_dedup, "repeats", lambda d, **k: whole(d, **k, most=most))
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    monkeypatch.setattr(suffix_dedup, "LONG", 2 * block)
-    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.dedup(df)).items()}
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.dedup(df, most=most, block=block, long=long)).items()}
     assert got == removed(list(enumerate(texts)))
 
 
+#: Two strings of 50 bytes with one hash modulo 2**64, found by lattice reduction.
+SAME_HASH = "m" * 50, "mmmmmmmmmmlkoonkpmolinnlnmnmnlmkkmnmmmmmmmmmmmmmmm"
+BEFORE = "hsreltpuscta pirhgwpr rpmuehueqmxavycfysbjya iptxm"
+
+
+@pytest.mark.parametrize("texts", [[BEFORE + x for x in SAME_HASH], [BEFORE + SAME_HASH[0] + " between " + BEFORE + SAME_HASH[1]], [BEFORE + x + y for x in SAME_HASH for y in ("", " abc", " abd")]])
+@pytest.mark.parametrize("most, block", [(5000, 1 << 20), (5000, 1), (0, 1 << 20), (0, 1)])
+def test_windows_of_one_hash_are_no_repeats(spark, texts, most, block):
+    """In one block and in several, as segments and as windows."""
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(suffix_dedup.dedup(table(spark, texts), most=most, block=block)).items()}
+    assert got == removed(list(enumerate(texts)))
+
+
+def test_windows_of_one_hash_are_told_apart():
+    raw = np.frombuffer("".join(BEFORE + x for x in (SAME_HASH[0], SAME_HASH[1], SAME_HASH[1], SAME_HASH[0])).encode(), np.uint8)
+    at = np.array([0, 100, 200, 300])
+    h = common.prefix_hashes(raw)
+    assert all(len(set(x.tolist())) == 1 for x in suffix_dedup.halves(h, at, 100))
+    assert suffix_dedup.repeated(raw, at, 100, np.zeros(4, np.int64)).tolist() == [False, False, True, True]
+    assert suffix_dedup.repeated(raw, at, 100, np.array([0, 0, 1, 1])).tolist() == [False] * 4
+    suffixes = suffix_dedup.Suffixes(raw, h)
+    assert suffixes.common(50, 150, 50) == 10 and suffixes.common(0, 300, 100) == 100
+
+
 def test_suffix_dedup_repeated_ids_and_empty_table(spark):
     text = prose(random.Random(4), 50)
     got = sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.dedup(table(spark, [text, text, text], [5, 5, None])).collect())
