@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import analytics as A
 from ..operators import clean, extract, load, standardize, typing
-from ..sources import records
-from ..sources.shared import folder
+from ..sources import buckets, records
+from ..sources.shared import folder, written
 from ..streaming.ingest import ingest
+from ..streaming.ingest import pull as stream_pull
 from . import pull as plan
 from .fixtures import APPLICANTS, RAW_ENTRIES, applicants, raw_entries, survey_pages
 
@@ -177,6 +178,23 @@ def analysis_report(spark, sf_dir):
     return A.report(applicants(spark, sf_dir), TERM, LAST_TERM)
 
 
+_BUCKET = "CASE WHEN gpa < 1 THEN '0-0.9' WHEN gpa < 2 THEN '1-1.9' WHEN gpa < 3 THEN '2.0-2.9' WHEN gpa < 4 THEN '3.0-3.9' ELSE '4.0-4.9' END"
+
+
+@query(
+    _sql_report().replace(APPS, APPS + PLACED + ", answers AS (", 1)
+    + f"), g AS (SELECT {_BUCKET} AS label, count(*) AS total, min(gpa) AS low, round(100.0 * count(*) FILTER (WHERE status LIKE 'Accepted%') / count(*), 2) AS pct FROM applicants WHERE gpa IS NOT NULL GROUP BY 1), "
+    "ends AS (SELECT count(*) AS terms, min_by(n, place) AS first, max_by(n, place) AS last FROM placed) "
+    "SELECT 'answer' AS section, CAST(number AS INT) AS place, 'Q' || number AS label, CAST(NULL AS BIGINT) AS total, answer AS value FROM answers "
+    "UNION ALL SELECT 'gpa', CAST(row_number() OVER (ORDER BY low) AS INT), label, total, printf('%.2f', pct) FROM g "
+    "UNION ALL SELECT 'term', CAST(place AS INT), term, n, printf('%.2f', n / (SELECT max(n) FROM placed) * 100) FROM placed "
+    "UNION ALL SELECT 'trend', 1, NULL, terms, CASE WHEN terms < 2 THEN 'no data' WHEN last > first THEN 'trending up' WHEN last < first THEN 'trending down' ELSE 'no clear trend' END FROM ends"
+)
+def whole_report(spark, sf_dir):
+    """Answers, buckets, terms and trend from one scan of the applicants."""
+    return A.whole_report(written(A.cube(applicants(spark, sf_dir)), "cube"), TERM, LAST_TERM)
+
+
 @query(APPS + "SELECT p_id, coalesce(printf('%.2f', gpa), '0.00') AS shown FROM applicants")
 def fmt_pct(spark, sf_dir):
     return applicants(spark, sf_dir).select("p_id", X.format_percent(F.col("gpa")).alias("shown"))
@@ -656,6 +674,19 @@ def incremental_pull(spark, sf_dir):
     return records.read_table(spark, at, APPLICANT).select("url", "p_id")
 
 
+@query(INCOMING + f", l AS ({LAST}), placed AS (SELECT url, row_number() OVER (ORDER BY p_id) AS p_id FROM existing UNION ALL "
+       "SELECT url, (SELECT count(*) FROM existing) + row_number() OVER (ORDER BY pos) FROM l WHERE url NOT IN (SELECT url FROM existing)) "
+       "SELECT placed.p_id, placed.url, " + ", ".join(f"CASE WHEN l.url IS NOT NULL THEN l.{c} ELSE e.{c} END AS {c}" for c in _others)
+       + " FROM placed LEFT JOIN existing e ON placed.url = e.url LEFT JOIN l ON placed.url = l.url")
+def stored_upsert(spark, sf_dir):
+    """Two upserts stored one after the other into a table kept by buckets of the url, the second one twice, and the table read back."""
+    at = folder(spark)
+    existing, incoming = batches(spark, sf_dir)
+    for batch in (existing.withColumn("pos", F.col("p_id")), incoming, incoming):
+        buckets.merge(batch, at, APPLICANT)
+    return buckets.read_buckets(spark, at, APPLICANT)
+
+
 @query(APPS + f"SELECT p_id, term, degree, status FROM applicants WHERE term = '{TERM}' AND degree = 'PhD'")
 def clustered_table(spark, sf_dir):
     """The applicants as a written table, clustered by term and degree, and a filter that skips most of its files."""
@@ -693,3 +724,13 @@ def streaming_report(spark, sf_dir):
     found = spark.read.parquet(reports)
     last = found.agg(F.max("batch").alias("batch"))
     return found.join(F.broadcast(last), "batch").select("number", "answer")  # one row
+
+
+@query(RAW + f"SELECT url, CAST(1 AS BIGINT) AS copies, CAST(count(*) OVER () AS BIGINT) AS numbers, CAST(1 AS BIGINT) AS first_number FROM ({PULLED})")
+def streaming_pull(spark, sf_dir):
+    """Landed pages as a stream, each page landed twice, through all steps of the pull: every URL once, numbered without gaps."""
+    at, pages = folder(spark), survey_pages(spark, sf_dir)
+    stream_pull(landed_stream(spark, pages.unionByName(pages)), at, APPLICANT, folder(spark)).awaitTermination()
+    rows = records.read_table(spark, at, APPLICANT)
+    numbers = rows.agg((F.max("p_id") - F.min("p_id") + 1).alias("numbers"), F.min("p_id").alias("first_number"))
+    return rows.groupBy("url").agg(F.count("*").alias("copies")).crossJoin(F.broadcast(numbers))  # one row

@@ -25,6 +25,18 @@ def folder(spark: SparkSession, name: str = "table") -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where there is no such folder."""
+    fs, at = filesystem(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a written table: its lineage ends there."""
     path = folder(df.sparkSession, name)
