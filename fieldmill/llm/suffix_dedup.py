@@ -320,8 +320,10 @@ def closer_rows(texts: DataFrame, looks: DataFrame, window: int, most: int, bloc
             start = np.concatenate([p[1] for p in parts])
             at = np.concatenate([p[1] + b for p, b in zip(parts, base)])
             again = repeated(raw, at, window, np.zeros(len(at), np.int64))
-            new, body = ~again, raw.tobytes()
-            digests = np.frombuffer(b"".join(hashlib.blake2b(body[a : a + window], digest_size=16).digest() for a in at[new].tolist()), np.uint64)
+            new, body, digests = ~again, memoryview(raw), bytearray(16 * int((~again).sum()))
+            for k, a in enumerate(at[new]):
+                digests[16 * k : 16 * k + 16] = hashlib.blake2b(body[a : a + window], digest_size=16).digest()
+            digests = np.frombuffer(digests, np.uint64)
             yield given(_rows(digests[::2], digests[1::2], key[new], start[new], np.ones(new.sum(), np.int64)))
             if again.any():
                 yield given(_repeats(key[again], start[again], np.full(again.sum(), window, np.int64)))
@@ -334,7 +336,7 @@ def closer_rows(texts: DataFrame, looks: DataFrame, window: int, most: int, bloc
                 if hot_ones := [np.arange(x["start"], x["start"] + x["n"]) for x in look if x["hot"]]:
                     parts.append((key, np.sort(np.concatenate(hot_ones)), np.frombuffer(text, np.uint8)))
                     size += len(parts[-1][1]) + len(text)
-                if size > 2_000_000:
+                if size > 500_000:
                     yield from windows(parts)
                     parts, size = [], 0
             if cold:
@@ -362,10 +364,12 @@ def closer(rows: DataFrame, window: int) -> DataFrame:
         return _found(*runs(key[own[again]], start[again], np.full(len(again), window, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cuts(file: np.ndarray, most: int = 20_000) -> Iterator[tuple[int, int]]:
-            at = 0
+        def cuts(file: np.ndarray, place: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
+            """Whole files, of about so many windows together or one."""
+            windows, at = np.cumsum(place & ((1 << SHIFT) - 1)), 0
             while at < len(file):
-                end = len(file) if at + most >= len(file) else int(np.searchsorted(file, file[at + most], side="left"))
+                reach = int(np.searchsorted(windows, (windows[at - 1] if at else 0) + most))
+                end = len(file) if reach >= len(file) else int(np.searchsorted(file, file[reach], side="left"))
                 end = end if end > at else int(np.searchsorted(file, file[at], side="right"))
                 yield at, end - at
                 at = end
@@ -379,7 +383,7 @@ def closer(rows: DataFrame, window: int) -> DataFrame:
             held = rest if held is None else pa.concat_batches([held, rest])
             file = held.column("file").to_numpy()
             whole = int(np.searchsorted(file, file[-1])) if len(file) else 0  # the last file may go on
-            for at in cuts(file[:whole]):
+            for at in cuts(file[:whole], held.column("place").to_numpy()[:whole]):
                 yield compared(held.slice(*at))
             held = held.slice(whole)
         if held is not None and held.num_rows:
