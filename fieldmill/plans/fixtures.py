@@ -81,13 +81,24 @@ def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_ENTRIES)
 
 
-def survey_pages(spark: SparkSession, sf_dir: str, per_page: int = 20, blocked_every: int = 97) -> DataFrame:
-    """page_no, url, html: the raw entries as survey pages, each with a link to the next; some pages are blocked."""
+#: What loose pages add to each school, as written and as read.
+WRITTEN, READ = " &Eacute;cole&nbsp;&#233;&#x2019;s &eacute &amp;amp; &nosuch;", " École é’s é &amp; &nosuch;"
+
+
+def survey_pages(spark: SparkSession, sf_dir: str, per_page: int = 20, blocked_every: int = 97, *, loose: bool = False) -> DataFrame:
+    """page_no, url, html: the raw entries as survey pages, each with a link to the next; some pages are blocked.
+
+    Loose pages close neither rows nor cells, leave out quotes, have references, and rows and links in comments and scripts.
+    """
     e = raw_entries(spark, sf_dir).withColumn("n", F.col("entry_id").cast("long"))
     cell = lambda c: F.concat(F.lit("<td>"), F.col(c), F.lit("</td>"))
     row = lambda *c: F.concat(F.lit("<tr>"), *c, F.lit("</tr>"))
     link = F.concat(F.lit('<td><a href="/result/'), F.col("entry_id"), F.lit('">See</a></td>'))
     main = row(*(cell(f"raw_{c}_text") for c in ("school", "program", "added_on", "decision")), link)
+    if loose:
+        cell, row = (lambda c: F.concat(F.lit("<TD class='a>b' id=c>"), F.col(c))), (lambda *c: F.concat(F.lit("<tr style=x>"), *c))
+        link = F.concat(F.lit("<td><a class=more href=/result/"), F.col("entry_id"), F.lit('>See</a><!-- <tr><td><a href="/result/0">old</a></td></tr> --><script>"<tr><a href=/result/1>"</script>'))
+        main = row(F.concat(cell("raw_school_text"), F.lit(WRITTEN)), *(cell(f"raw_{c}_text") for c in ("program", "added_on", "decision")), link)
     html = F.concat(main, row(cell("raw_meta_text")), row(F.lit("<td> </td>")), row(cell("raw_comment_text")), row(F.lit("<td>too far down</td>")))
     page = F.floor(F.col("n") / per_page)
     grouped = e.groupBy(page.alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", html.alias("h")))), lambda x: x["h"]), "\n").alias("rows"))

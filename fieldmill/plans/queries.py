@@ -16,7 +16,7 @@ from ..sources.shared import folder, written
 from ..streaming.ingest import ingest
 from ..streaming.ingest import pull as stream_pull
 from . import pull as plan
-from .fixtures import APPLICANTS, RAW_ENTRIES, applicants, raw_entries, survey_pages
+from .fixtures import APPLICANTS, RAW_ENTRIES, READ, applicants, raw_entries, survey_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -568,8 +568,19 @@ def surrogate_key(spark, sf_dir):
        "(SELECT count(DISTINCT url) FROM incoming i WHERE p_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM existing e WHERE e.url = i.url)) AS inserted) SELECT *, usable - inserted AS duplicates FROM n")
 def load_summary(spark, sf_dir):
     existing, incoming = batches(spark, sf_dir)
-    usable = incoming.filter("p_id % 7 <> 0")
-    return load.summary(incoming, usable, load.new_rows(existing, usable))
+    return load.counted_new_rows(existing, incoming, F.expr("p_id % 7 <> 0"))[1].drop("skipped")
+
+
+@query(INCOMING + ", n AS (SELECT (SELECT count(*) FROM incoming) AS raw, (SELECT count(*) FROM incoming WHERE p_id % 7 <> 0) AS usable, "
+       "(SELECT count(DISTINCT url) FROM incoming i WHERE p_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM existing e WHERE e.url = i.url)) AS inserted) "
+       "SELECT '{\"raw\":' || raw || ',\"usable\":' || usable || ',\"inserted\":' || inserted || ',\"duplicates\":' || (usable - inserted) || '}' AS line, "
+       "format('{:,}', inserted) || ' rows are new, ' || format('{:,}', usable - inserted) || ' were there before; ' || format('{:,}', usable) || ' of ' || format('{:,}', raw) || ' entries were usable, ' "
+       "|| format('{:,}', raw - usable) || ' lacked a URL or program.' AS sentence FROM n")
+def load_told(spark, sf_dir):
+    """The summary of a load as a line of JSON and a sentence; rows whose program is blank are skipped."""
+    existing, incoming = batches(spark, sf_dir)
+    blanked = incoming.withColumn("program", F.when(F.col("p_id") % 7 == 0, "  ").otherwise(F.col("program")))
+    return load.told(load.counted_new_rows(existing, blanked, typing.has_required())[1])
 
 
 @query(RAW + "SELECT entry_id, url FROM raw_entries WHERE url IS NULL OR CAST(entry_id AS BIGINT) % 2 = 1")
@@ -598,6 +609,12 @@ def survey_rows(spark, sf_dir):
     return extract.survey_rows(extract.unblocked(survey_pages(spark, sf_dir))).drop("pos", "link")
 
 
+@query(RAW + f"SELECT {ENTRY.replace(squeeze('raw_school_text'), squeeze(f"(raw_school_text || '{READ}')"))} FROM raw_entries WHERE {PAGE} % 97 <> 96")
+def survey_rows_loose(spark, sf_dir):
+    """The same entries from pages that close nothing, quote nothing and are full of references, comments and scripts."""
+    return extract.survey_rows(extract.unblocked(survey_pages(spark, sf_dir, loose=True))).drop("pos", "link")
+
+
 @query(RAW + f"SELECT entry_id, {META} || ' ' || {COMMENT} AS told FROM raw_entries")
 def survey_trailing_text(spark, sf_dir):
     return extract.survey_rows(survey_pages(spark, sf_dir)).select("entry_id", F.col("raw_meta_text").alias("told"))
@@ -644,7 +661,7 @@ RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entry_id", "r
 def json_roundtrip(spark, sf_dir):
     path = folder(spark)
     records.write_json(raw_entries(spark, sf_dir).select(*RECORD.fieldNames()), path)
-    return spark.read.schema(RECORD).json(path)
+    return records.read_json(spark, path, RECORD)
 
 
 @query(RAW + "SELECT entry_id, raw_program_text, url FROM raw_entries")
