@@ -429,6 +429,35 @@ def batch_score(spark, sf_dir):
     return standardize.batch_score(cleaned(spark, sf_dir).select("program").filter("program is not null").distinct(), "program", rule_scorer, ("long",))
 
 
+@query(CLEAN + "SELECT DISTINCT program, CASE WHEN program LIKE '%Drama%' THEN NULL ELSE array_to_string(list_filter(string_split(program, ' '), lambda x: length(x) > 3), ' ') END AS long, "
+       "CASE WHEN program LIKE '%Drama%' THEN 'ValueError: no drama' END AS error FROM cleaned WHERE program IS NOT NULL")
+def scored_keys(spark, sf_dir):
+    """Two runs of a scorer that keeps what it found: the second takes over the first one's keys and scores the others."""
+    keys, at = written(cleaned(spark, sf_dir).select("program"), "keys"), folder(spark)
+    for part in (keys.filter("length(program) % 2 = 0"), keys):
+        found = standardize.scored_keys(part, at, "program", rule_scorer, ("long",), keep="rules")
+    return found
+
+
+#: A rule for each customer, and a last one for what they leave; names as they are written in the orders.
+RULE_TABLE = """
+SELECT CAST(c_custkey AS BIGINT) AS ord, '(?i)^clerk[. ]*0*' || CAST(c_custkey AS STRING) || '$' AS pattern, c_name AS full, CAST(c_custkey AS STRING) AS fragment FROM customer
+UNION ALL SELECT CAST(1000000000000 AS BIGINT), '(?i)^clerk', 'Another clerk', 'clerk'
+"""
+WRITTEN_NAMES = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'Clark ' || CAST(o_custkey AS STRING) WHEN o_orderkey % 7 = 0 THEN 'clerk of nobody'
+ WHEN o_orderkey % 3 = 0 THEN 'CLERK. 00' || CAST(o_custkey AS STRING) ELSE 'Clerk ' || CAST(o_custkey AS STRING) END AS name FROM orders
+"""
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'Clark ' || CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 7 = 0 THEN 'Another clerk' "
+       "ELSE coalesce(c_name, 'Another clerk') END AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def expand_rule_table(spark, sf_dir):
+    for t in ("customer", "orders"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return standardize.expand_by_table(spark.sql(WRITTEN_NAMES), "name", spark.sql(RULE_TABLE))
+
+
 # Typing and mapping
 
 DATE_SQL = "CAST(try_strptime(nullif(regexp_extract(date_added, '^Added on (.+)$', 1), ''), '%b %d, %Y') AS DATE)"
@@ -652,6 +681,20 @@ def url_policy_filter(spark, sf_dir):
     return extract.allowed(urls, rules, "*")
 
 
+SITE_STATUS = [("a.example.org", 200), ("b.example.org", 403), ("c.example.org", 404), ("d.example.org", 503)]
+SITE_URL = "'https://' || CASE o_orderkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'd' ELSE 'E' END || '.example.org/result/' || CAST(o_orderkey AS STRING)"
+
+
+@query("WITH u AS (SELECT o_orderkey % 5 AS site, '/result/' || CAST(o_orderkey AS VARCHAR) AS path, " + SITE_URL + " AS url FROM orders) "
+       "SELECT url, CASE site WHEN 0 THEN coalesce((SELECT min_by(allow, ord) FROM (VALUES " + ", ".join(f"({o}, '{p}', {str(a).lower()})" for g, o, p, a in RULES if g == "*")
+       + ") r(ord, prefix, allow) WHERE starts_with(path, prefix)), true) WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE true END AS allowed FROM u")
+def url_policy_sites(spark, sf_dir):
+    """URLs of five sites whose rules were answered with different statuses, or never asked for."""
+    rules = spark.createDataFrame([(h, *r) for h, _ in SITE_STATUS for r in RULES], "host string, agent string, ord int, prefix string, allow boolean")
+    urls = table(spark, sf_dir, "orders").select(F.expr(SITE_URL).alias("url"))
+    return extract.allowed_by_site(urls, rules, spark.createDataFrame(SITE_STATUS, "host string, status int"), "crawler")
+
+
 # Sources and sinks
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entry_id", "raw_program_text", "url")])
