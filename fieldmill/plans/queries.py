@@ -770,6 +770,23 @@ def clustered_table(spark, sf_dir):
     return records.read_table(spark, at, APPLICANT).filter(F.col("term") == TERM).filter("degree = 'PhD'").select("p_id", "term", "degree", "status")
 
 
+INDEXED = ("term", "degree", "llm_generated_university", "llm_generated_program")
+
+
+@query(APPS + f"SELECT p_id, 'university' AS found_by FROM applicants WHERE llm_generated_university = 'Stanford University' UNION ALL SELECT p_id, 'program' FROM applicants WHERE llm_generated_program = 'Physics' "
+       f"UNION ALL SELECT p_id, 'term' FROM applicants WHERE term = '{TERM}' UNION ALL SELECT p_id, 'degree' FROM applicants WHERE degree = 'Other' UNION ALL SELECT p_id, 'url' FROM applicants WHERE url = 'https://example.org/result/77'")
+def indexed_table(spark, sf_dir):
+    """The applicants as a written table in Z-order of four columns, and a filter on each of them and on a URL."""
+    at = folder(spark)
+    records.append_batch(written(applicants(spark, sf_dir).select(*APPLICANT.fieldNames())), at, "all", INDEXED, interleave=True)
+    found = {"university": "llm_generated_university = 'Stanford University'", "program": "llm_generated_program = 'Physics'", "term": f"term = '{TERM}'", "degree": "degree = 'Other'", "url": "url = 'https://example.org/result/77'"}
+    parts = [records.read_table(spark, at, APPLICANT).filter(c).select("p_id", F.lit(k).alias("found_by")) for k, c in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def landed_stream(spark, source: DataFrame) -> DataFrame:
     """source as a stream of written files, a few at a time."""
     landed = folder(spark)

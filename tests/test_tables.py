@@ -249,3 +249,25 @@ def test_report_after_a_batch_reads_no_table(spark):
     for r in analytics.report(rows, Q.TERM, Q.LAST_TERM).collect():
         assert got[(1, r.number)] == r.answer
     assert got[(0, 1)] != got[(1, 1)]
+
+
+# Z-order
+
+
+@needs_tables
+def test_filter_on_any_indexed_column_skips_files(spark):
+    import duckdb
+
+    at, rows = folder(spark), written(Q.applicants(spark, SMALL).select(*Q.APPLICANT.fieldNames()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        records.append_batch(rows, at, "all", Q.INDEXED, interleave=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert records.read_table(spark, at, Q.APPLICANT).count() == rows.count()
+    for column, value in zip(Q.INDEXED, (Q.TERM, "Other", "Stanford University", "Physics")):
+        spans = duckdb.sql(f"SELECT file_name, min(stats_min_value) lo, max(stats_max_value) hi FROM parquet_metadata('{at.removeprefix('file://')}/*/*.parquet') WHERE path_in_schema = '{column}' GROUP BY file_name").fetchall()
+        hit = sum(lo is not None and lo <= value <= hi for _, lo, hi in spans)
+        assert len(spans) > 20 and 0 < hit <= 0.75 * len(spans), (column, hit, len(spans))
