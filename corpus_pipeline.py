@@ -2,6 +2,10 @@
 
 Every stage takes the rows that the stage before kept and is written as Parquet before the next one reads it. All
 stages but the last return the columns of documents; n_chars follows the text where a stage changes it.
+
+A null text counts as empty and may stay; a null doc_id, lang or source is carried along. Rows with the same doc_id are
+documents of their own: of equal or nearly equal texts one row stays. An empty table gives an empty result at every stage; without
+any label the first two stages keep all documents. Further columns of the table take no part.
 """
 
 from __future__ import annotations
