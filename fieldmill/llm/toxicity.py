@@ -6,7 +6,10 @@ a word may also end at each space or mark, and Viterbi's algorithm finds the lik
 model. The model's counts are taken from every text of the corpus, into a table
 of fixed size. The restored words' weights come from a logistic regression on words and word beginnings that are
 commoner in toxic texts, fitted on at most sample_size labelled documents here of each kind (those with the smallest
-hashes).
+hashes). Most toxic texts hold several such words, so the regression asks little of each alone. Hence words that speak
+for themselves: a score is no less than the lower end of the interval of the share of toxic texts among those that hold a
+word, where that end is at least sure. Near copies in the sample count once for that, so what only one text's copies have in
+common proves nothing.
 
 Nulls count as empty texts; an empty text has the score of the bias alone. Labels that are null are left out; of
 several labels of one document the least counts. Rows that share a doc_id each learn from its label, and a null doc_id has
@@ -15,7 +18,9 @@ none. Without both kinds of labels every score is near 1 or near 0, by the kind
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, nothing_kept, slices, staged
+from .common import Memory, mix, nothing_kept, slices, staged
 
 #: The alphabet of the character model: 0 is a word's edge, 1 any other character.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëçàâîïôûùœñáíóúìòãõåøæ"
@@ -205,8 +210,64 @@ def tokens(text: str) -> set[str]:
     return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size: int = 4000, n_features: int = 8192) -> dict:
-    """The character model, the weights of words and beginnings, and the bias."""
+def sketch(found: list[str], bands: int = 10, width: int = 4) -> list[int]:
+    """bands numbers, each from width min-hashes of the features; texts of likeness 0.8 share one with probability 0.995, of 0.1 with 0.001."""
+    if not found:
+        return []
+    h = np.array([zlib.crc32(f.encode()) for f in found], np.uint64)
+    salts = np.arange(1, bands * width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    least = np.array([mix((h + np.uint64(1)) * (salt | np.uint64(1))).min() for salt in salts])
+    out = np.zeros(bands, np.uint64)
+    for k in range(width):
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) + least[k::width])
+    return (out + np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def copies(sketches: list[list[int]]) -> list[int]:
+    """For each sketch the place of the first one of its group: those that share a number, also by way of others."""
+    top, seen = list(range(len(sketches))), {}
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    for k, numbers in enumerate(sketches):
+        for x in numbers:
+            a, b = root(k), root(seen.setdefault(x, k))
+            top[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(sketches))]
+
+
+def least_share(yes: float, no: float, z: float = 1.96) -> float:
+    """The lower end of Wilson's interval of a share."""
+    n = yes + no
+    p = yes / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def telling_alone(rows: DataFrame, each_no: float, sure: float) -> dict[str, float]:
+    """Words and the least share of toxic texts among those of the sample that hold them, from sure on.
+
+    Near copies are one text; a word without other texts counts as in half of one. Texts of label 0 count each_no times.
+    Only sketches of the sample's rows are sent to the driver.
+    """
+    spark = rows.sparkSession
+    sketches = rows.select("row", "sketch").orderBy("row").toArrow()  # of the sample
+    first = copies(sketches.column("sketch").to_pylist())
+    ids = sketches.column("row").to_pylist()
+    groups = spark.createDataFrame(list(zip(ids, first)), "row long, first int")
+    words = rows.select("row", "label", F.explode("found").alias("feature")).filter(~F.col("feature").endswith("~"))
+    per = words.join(F.broadcast(groups), "row").groupBy("feature", "label").agg(F.count_distinct("first").alias("n"))
+    per = per.groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("yes"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("no"))
+    possible = per.filter(F.col("yes") >= sure * (F.col("yes") + F.coalesce("no", F.lit(0)) * each_no)).filter("yes >= 10")
+    found = {r.feature: least_share(r.yes, ((r.no or 0) + 0.5) * each_no) for r in possible.collect()}  # a sample's words
+    return {f: p for f, p in found.items() if p >= sure}
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size: int = 4000, n_features: int = 8192, sure: float = 0.9) -> dict:
+    """The character model, the weights of words and beginnings, the bias, and the words that speak for themselves (alone)."""
     spark = docs.sparkSession
     costs = trigram_costs(docs)
     shared = spark.sparkContext.broadcast(costs)  # A**3 numbers
@@ -215,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     n = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return {"costs": costs, "weights": {}, "bias": 5.0 if n.get(1) else -5.0}
+        return {"costs": costs, "weights": {}, "bias": 5.0 if n.get(1) else -5.0, "alone": {}}
     sample = one.filter("label = 1").orderBy(*order).limit(sample_size).unionByName(one.filter("label = 0").orderBy(*order).limit(sample_size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +288,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size
                 for k in memory.missing(own):
                     memory[k] = restorer.features(k)
                 found.append(sorted({f for k in own for f in memory[k]}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "label", "found"])
+            sketches = pa.array(map(sketch, found), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.string())), sketches], ["doc_id", "label", "found", "sketch"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, label int, found array<string>")
-    rows = staged(rows, "toxic-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, label int, found array<string>, sketch array<bigint>")
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "toxic-sample")
     each = rows.select("label", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum("label").alias("yes"), F.count("*").alias("n"))
     taken = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ratio = (F.col("yes") + 0.5) / taken[1] / ((F.col("n") - F.col("yes") + 0.5) / taken[0])
@@ -244,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_size
     at, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     prior = np.where(y == 1, n[1] / taken[1], n[0] / taken[0])  # the sample's kinds count as they do among all labels of documents here
     w, bias = logistic(row, at, y, prior / prior.mean(), len(names))
-    return {"costs": costs, "weights": {f: float(v) for f, v in zip(names, w) if v > 0}, "bias": float(bias)}
+    each_no = (n[0] / taken[0]) / (n[1] / taken[1])
+    return {"costs": costs, "weights": {f: float(v) for f, v in zip(names, w) if v > 0}, "bias": float(bias), "alone": telling_alone(rows, each_no, sure)}
 
 
 def logistic(row: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, *, penalty: float = 0.02, rounds: int = 150) -> tuple[np.ndarray, float]:
@@ -271,17 +334,18 @@ def score(docs: DataFrame, model: dict, columns: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_kept()
         own = shared.value
-        weights, memory = own["weights"], Memory(250_000)
+        weights, alone, memory = own["weights"], own["alone"], Memory(250_000)
         restorer = Restorer(own["costs"], [w for w, v in weights.items() if v >= 0.5 and "~" not in w])
         for batch in slices(batches, "text", 1 << 20):
-            z = []
+            z, least = [], []
             for t in batch.column("text").to_pylist():
                 found = tokens(t or "")
                 for k in memory.missing(found):
-                    memory[k] = tuple(f for f in restorer.features(k) if f in weights)
+                    memory[k] = tuple(f for f in restorer.features(k) if f in weights or f in alone)
                 telling = {f for k in found for f in memory[k]}  # each once, as in fit
-                z.append(sum(map(weights.__getitem__, sorted(telling))))
-            s = 1 / (1 + np.exp(-np.clip(np.array(z) + own["bias"], -30, 30)))
+                z.append(sum(weights.get(f, 0.0) for f in sorted(telling)))
+                least.append(max((alone.get(f, 0.0) for f in telling), default=0.0))
+            s = np.maximum(1 / (1 + np.exp(-np.clip(np.array(z) + own["bias"], -30, 30))), np.array(least))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*columns, "score", "predicted"])
 
     kind = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "score double, predicted int"])

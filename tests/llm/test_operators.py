@@ -591,3 +591,31 @@ def test_damaged_archive_is_refused():
     for archive in (member, warc.record(1, "u", 7, b"payload", hashlib.sha256(b"payload").digest())[:-9]):
         with pytest.raises(ValueError):
             list(warc.parse(archive))
+
+
+def test_a_word_that_speaks_alone(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("bdfgklmnprst")) + rng.choice(list("aeiou")) for _ in range(3)) for _ in range(400)]
+    text = lambda: " ".join(rng.choice(words, 30))
+    group = text()
+    # Distinct toxic texts with two such words each, near copies of one toxic text with a word that nothing else holds, clean texts.
+    toxic = [f"{text()} {'zyqxw vokquj' if k else 'vokquj zyqxw'}" for k in range(60)] + [f"{group} qoqaqe zyqxw {words[k]}" for k in range(80)]
+    clean = [text() for _ in range(300)]
+    df = table(spark, toxic + clean + ["only once zyqxw here", f"{text()} ZYQXW!!", f"{text()} qoqaqe", text()])
+    labels = spark.createDataFrame([(k, int(k < len(toxic))) for k in range(len(toxic) + len(clean))], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert set(model["alone"]) == {"zyqxw", "vokquj"} and all(0.9 <= p < 1 for p in model["alone"].values())
+    model["weights"] = {}  # what the words say by themselves
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    last = len(toxic) + len(clean)
+    assert [got[last + k].predicted for k in range(4)] == [1, 1, 0, 0]
+    assert got[last].score == model["alone"]["zyqxw"]
+
+
+def test_copies_by_sketches():
+    rng = np.random.default_rng(6)
+    one = [f"w{k}" for k in rng.choice(5000, 200, replace=False)]
+    near, far = one[:190] + [f"x{k}" for k in range(10)], [f"y{k}" for k in range(180)] + one[:20]
+    found = [toxicity.sketch(sorted(x)) for x in (far, one, near, one, [])]
+    assert toxicity.copies(found) == [0, 1, 1, 1, 4] and found[4] == [] and toxicity.copies([]) == []
+    assert toxicity.least_share(35, 0.5) > 0.87 > toxicity.least_share(20, 0.5)
