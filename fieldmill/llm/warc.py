@@ -3,7 +3,7 @@
 Pages are sorted by id. Every shard_records pages in that order, by exact ranks of (id, digest), are a shard, and one
 task writes a shard's files, which roll at a compressed size. A record is one gzip member, compressed before the shuffle,
 so that payloads move once and compressed. Files first get temporary names, so a lost or repeated task leaves nothing
-that counts; the driver then renames what the tasks' manifest rows list and writes the manifest itself. Names, bounds and
+that counts; further tasks then rename what the first ones' manifest rows list, and the manifest is written last. Names, bounds and
 bytes follow from the pages alone, so equal inputs give equal archives however they are partitioned.
 
 Of records with equal payloads of at least min_revisit_bytes, the one with the smallest id is the response and the
@@ -171,18 +171,27 @@ def write(pages: DataFrame, folder: str, *, shard_records: int = 5000, roll_byte
         if done:
             yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
+    def place_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            paths = []
+            for shard, part, path in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "path"))):
+                name = f"part-{shard:08d}-{part:04d}.warc.gz"
+                if fs.get_file_info(path).type == pyarrow.fs.FileType.File:  # else an earlier try of this task has moved it
+                    fs.move(path, f"{root}/{name}")
+                paths.append(f"{folder.rstrip('/')}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(batch.column(c) for c in ("records", "bytes", "sha256"))], ["path", "records", "bytes", "sha256"])
+
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/_temporary", recursive=True)
-    files = ordered.mapInArrow(write_shards, "shard int, part int, path string, records long, bytes long, sha256 string").collect()  # one row a file
-    manifest = []
-    for f in sorted(files, key=lambda f: (f.shard, f.part)):
-        name = f"part-{f.shard:08d}-{f.part:04d}.warc.gz"
-        fs.move(f.path, f"{root}/{name}")
-        manifest.append({"path": f"{folder.rstrip('/')}/{name}", "records": f.records, "bytes": f.bytes, "sha256": f.sha256})
+    files = staged(ordered.mapInArrow(write_shards, "shard int, part int, path string, records long, bytes long, sha256 string"), "warc-files")
+    placed = files.repartitionByRange("shard", "part").mapInArrow(place_files, "path string, records long, bytes long, sha256 string")
+    manifest = staged(placed, "warc-manifest")
     fs.delete_dir(f"{root}/_temporary")
     with fs.open_output_stream(f"{root}/manifest.json") as out:
-        out.write("".join(json.dumps(m) + "\n" for m in manifest).encode())
-    return spark.createDataFrame(manifest, "path string, records long, bytes long, sha256 string")
+        for f in manifest.orderBy("path").toLocalIterator():  # a partition of it at a time
+            out.write(f"{json.dumps(f.asDict())}\n".encode())
+    return manifest
 
 
 def unpacked(archive: bytes | memoryview) -> Iterator[bytes]:
