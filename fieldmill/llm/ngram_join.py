@@ -1,8 +1,8 @@
 """Similarity join on sets of word n-grams, and the groups that its links form.
 
 Documents with equal sets are one class, and only one of each class is joined. A set's n-grams are ordered rare first;
-the counts come from a table of fixed size that all n-grams are hashed into, so the order costs no shuffle of
-n-grams. Two sets of the asked likeness share an n-gram among the first few of each (prefix filter), have sizes that
+the counts come from a table of fixed size that all n-grams are hashed into, and from the commonest n-grams of each task,
+of which a bounded number is kept, so the order costs no shuffle of n-grams. Two sets of the asked likeness share an n-gram among the first few of each (prefix filter), have sizes that
 are near (length filter), and stand early enough in each other's order (positional filter). What is left of a pair's
 suffixes is compared by how many of their n-grams fall into each of 256 parts, which bounds their difference from
 below (suffix filter). Pairs that pass are verified once, on their texts; there as in the filters an n-gram is known by
@@ -70,39 +70,89 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def frequencies(docs: DataFrame, width: int) -> np.ndarray:
-    """How many of all sets' n-grams hash into each bucket; a table of fixed size."""
+class Common:
+    """The commonest of the n-grams that pass by, in bounded memory: when there are too many, the rarest so far are let go."""
+
+    def __init__(self, most: int):
+        self.most, self.waiting, self.size = most, [], 0
+        self.grams, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, grams: np.ndarray) -> None:
+        self.waiting.append(grams)
+        self.size += len(grams)
+        if self.size > 2 * self.most:
+            self.count()
+
+    def count(self) -> None:
+        grams, place = np.unique(np.concatenate([self.grams, *self.waiting]), return_inverse=True)
+        counts = np.bincount(place[len(self.counts) :], minlength=len(grams))
+        counts[place[: len(self.counts)]] += self.counts
+        if len(grams) > self.most:
+            keep = np.sort(np.argpartition(counts, -self.most)[-self.most :])
+            grams, counts = grams[keep], counts[keep]
+        self.grams, self.counts, self.waiting, self.size = grams, counts, [], 0
+
+    def top(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At most n n-grams seen twice or more, and their counts since they were last let go."""
+        self.count()
+        order = np.lexsort((self.grams, -self.counts))[:n]
+        order = order[self.counts[order] > 1]
+        return self.grams[order], self.counts[order]
+
+
+def frequencies(docs: DataFrame, width: int, *, most: int = 100_000, most_each: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often n-grams occur: counts by bucket of their hashes, and the commonest n-grams (sorted) with counts of their own.
+
+    Buckets tell less the more n-grams there are, but what very many texts share is known by itself at any size: each task
+    names its most_each commonest, and the most commonest of all tasks together are kept. Only the order within sets
+    depends on it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_kept()
-        total = np.zeros(BUCKETS, np.int64)
+        total, common = np.zeros(BUCKETS, np.int64), Common(1 << 18)
         for batch in slices(batches, "text", CHUNK):
-            sets = shingles(*text_bytes(batch.column("text")), width)
-            total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            grams = np.concatenate(shingles(*text_bytes(batch.column("text")), width))
+            total += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            common.add(grams)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+        grams, counts = common.top(most_each)
+        own = np.append(np.zeros(len(at), bool), np.ones(len(grams), bool))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.append(at, grams.view(np.int64))), pa.array(np.append(total[at], counts))], ["own", "at", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    sums = docs.select("text").mapInArrow(run, "own boolean, at long, n long").groupBy("own", "at").agg(F.sum("n").alias("n"))
+    rows = sums.orderBy("own", F.desc("n"), "at").limit(BUCKETS + most).toArrow()  # the buckets come first
+    own, at, n = (rows.column(c).to_numpy() for c in ("own", "at", "n"))
     table = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        table[r.bucket] = r.n
-    return table
+    table[at[~own]] = n[~own]
+    grams = at[own].view(np.uint64)
+    order = np.argsort(grams)
+    return table, grams[order], n[own][order]
+
+
+def how_common(grams: np.ndarray, table: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A number for each n-gram that grows with its occurrences; those with counts of their own come after all others."""
+    out = table[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        out = np.where(known[at] == grams, counts[at] + (1 << 48), out)
+    return out
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """key, n (set size), digest (of the set), parts (counts of the suffix filter), prefix (the rarest n-grams, in order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width))
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_kept()
-        table = shared.value
+        known = shared.value
         for batch in slices(batches, "text", CHUNK):
             sets = shingles(*text_bytes(batch.column("text")), width)
             digests, parts, prefixes = [], [], []
             for s in sets:
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 parts.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
-                order = np.lexsort((s, table[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+                order = np.lexsort((s, how_common(s, *known)))
                 prefixes.append(s[order[: len(s) - needed(len(s), percent) + 1]].view(np.int64) if len(s) else np.zeros(0, np.int64))
             n = np.array([len(s) for s in sets], np.int64)
             ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)

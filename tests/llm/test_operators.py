@@ -619,3 +619,24 @@ def test_copies_by_sketches():
     found = [toxicity.sketch(sorted(x)) for x in (far, one, near, one, [])]
     assert toxicity.copies(found) == [0, 1, 1, 1, 4] and found[4] == [] and toxicity.copies([]) == []
     assert toxicity.least_share(35, 0.5) > 0.87 > toxicity.least_share(20, 0.5)
+
+
+def test_commonest_ngrams_in_bounded_memory():
+    rng = np.random.default_rng(7)
+    common_, rare = rng.integers(0, 1 << 63, 20, dtype=np.uint64), rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    stream = np.concatenate([np.repeat(common_, np.arange(1000, 3000, 100)), rare])
+    rng.shuffle(stream)
+    truth = collections.Counter(stream.tolist())
+    exact, bounded = ngram_join.Common(1 << 17), ngram_join.Common(500)
+    for part in np.array_split(stream, 50):
+        exact.add(part)
+        bounded.add(part)
+    grams, counts = exact.top(30)
+    assert dict(zip(grams.tolist(), counts.tolist())) == {g: n for g, n in truth.items() if n > 1}
+    grams, counts = bounded.top(20)
+    assert set(grams.tolist()) == set(common_.tolist()) and len(bounded.grams) <= 500
+    assert all(truth[g] >= n for g, n in zip(grams.tolist(), counts.tolist()))
+    order = np.argsort(grams)
+    got = ngram_join.how_common(np.append(rare[:5], common_[:5]), np.full(ngram_join.BUCKETS, 10**6), grams[order], counts[order])
+    assert (got[:5] == 10**6).all() and (got[5:] > 10**6).all()
+    assert len(ngram_join.Common(5).top(3)[0]) == 0
