@@ -4,7 +4,11 @@ import difflib
 
 import pytest
 
-from fieldmill.operators import standardize
+from fieldmill.operators import extract, standardize
+from fieldmill.plans.queries import APPLICANT
+from fieldmill.sources import records
+from fieldmill.sources.shared import folder
+from fieldmill.streaming.ingest import pull
 
 
 def frame(spark, values, column="name"):
@@ -28,3 +32,21 @@ def test_names_of_any_length_find_their_best_entry(spark, longest):
     entries, names = ["a", "ab", "abc", "abcd", "abcdef", "bcdefg", "abcdefgh"], ["a", "b", "ac", "abd", "acd", "abcdeg", "abcdefg", "xyz", "", None]
     expected = {n: max(((m.ratio(), e) for e in entries if (m := difflib.SequenceMatcher(None, e, n)).ratio() >= 0.5), default=(0, None))[1] if n else None for n in names}
     assert {r.name: r.match for r in standardize.fuzzy_match(frame(spark, names), frame(spark, entries), 0.5, longest=longest).collect()} == expected
+
+
+def test_rows_without_an_id_are_no_reason_to_read_the_entries_twice(spark):
+    entries = spark.range(20).selectExpr("if(id % 4 = 0, null, if(id % 4 = 1, '', cast(id div 8 as string))) as entry_id", "id as page_no", "0 as pos")
+    first = extract.first_by_id(entries)
+    assert first._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert sorted((r.entry_id or "", r.page_no) for r in first.collect()) == [*(("", k) for k in range(0, 20) if k % 4 < 2), ("0", 2), ("1", 10), ("2", 18)]
+
+
+def test_pull_keeps_the_urls_seen_in_a_built_in_state(spark):
+    row = lambda i, school: f'<tr><td>{school}</td><td>Physics PhD</td><td>Feb 1, 2026</td><td>Accepted on 1 Feb</td><td><a href="/result/{i}">x</a></td></tr>'
+    page = lambda k, *rows: (k, f"https://example.org/?page={k}", f"<table>{''.join(rows)}</table>")
+    at, landed = folder(spark), folder(spark)
+    spark.createDataFrame([page(2, row(1, "Later")), page(1, row(1, "First"), row(1, "Again"), row(2, "Other")), page(3, row(2, "Late"))], "page_no long, url string, html string").repartition(3).write.parquet(landed)
+    query = pull(spark.readStream.schema("page_no long, url string, html string").parquet(landed), at, APPLICANT, folder(spark))
+    query.awaitTermination()
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"dedupe"}
+    assert sorted((r.p_id, r.llm_generated_university) for r in records.read_table(spark, at, APPLICANT).collect()) == [(1, "First"), (2, "Other")]
