@@ -50,3 +50,16 @@ def test_pull_keeps_the_urls_seen_in_a_built_in_state(spark):
     query.awaitTermination()
     assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"dedupe"}
     assert sorted((r.p_id, r.llm_generated_university) for r in records.read_table(spark, at, APPLICANT).collect()) == [(1, "First"), (2, "Other")]
+
+
+def test_walk_sends_no_pages_through_the_driver(spark, monkeypatch):
+    plans, write = [], extract.written
+
+    def kept(df, *name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *name)
+
+    monkeypatch.setattr(extract, "written", kept)
+    pages = spark.createDataFrame([(f"p{k}", f"p{k + 1}", k != 3) for k in range(6)], "url string, next_url string, ok boolean")
+    assert sorted((r.step, r.url) for r in extract.walk(pages, "p0", 100).collect()) == [(1, "p0"), (2, "p1"), (3, "p2")]
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("Broadcast" in p for p in plans)
