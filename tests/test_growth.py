@@ -4,10 +4,10 @@ import difflib
 
 import pytest
 
-from fieldmill.operators import extract, standardize
+from fieldmill.operators import extract, load, standardize
 from fieldmill.plans.queries import APPLICANT
 from fieldmill.sources import records
-from fieldmill.sources.shared import folder
+from fieldmill.sources.shared import folder, written
 from fieldmill.streaming.ingest import pull
 
 
@@ -63,3 +63,11 @@ def test_walk_sends_no_pages_through_the_driver(spark, monkeypatch):
     pages = spark.createDataFrame([(f"p{k}", f"p{k + 1}", k != 3) for k in range(6)], "url string, next_url string, ok boolean")
     assert sorted((r.step, r.url) for r in extract.walk(pages, "p0", 100).collect()) == [(1, "p0"), (2, "p1"), (3, "p2")]
     assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_keys_of_a_table_are_sent_to_no_task_whole(spark):
+    existing = written(spark.range(50).selectExpr("cast(id as string) as url", "id as p_id"))
+    found = load.new_rows(existing, spark.range(40, 60).selectExpr("cast(id as string) as url", "id as pos"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r.url for r in found.collect()) == [str(k) for k in range(50, 60)]
