@@ -71,3 +71,11 @@ def test_keys_of_a_table_are_sent_to_no_task_whole(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted(r.url for r in found.collect()) == [str(k) for k in range(50, 60)]
+
+
+def test_a_common_value_is_not_sorted_row_by_row(spark):
+    rows = spark.range(9000).selectExpr("if(id % 9 < 7, 'common', cast(id % 9 as string)) as v")
+    firsts = records.range_firsts(rows, "v", 64)
+    assert sorted(r.first for r in firsts.collect()) == ["7", "8", "common"]
+    top_down = firsts._jdf.queryExecution().executedPlan().toString().split("rangepartitioning")[0]
+    assert "HashAggregate(keys=[v" in top_down[top_down.rindex("Sort ["):]  # values are told apart below the sort
