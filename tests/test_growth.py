@@ -1,6 +1,7 @@
 """Steps whose cost must grow no faster than their input."""
 
 import difflib
+import re
 
 import pytest
 
@@ -79,3 +80,13 @@ def test_a_common_value_is_not_sorted_row_by_row(spark):
     assert sorted(r.first for r in firsts.collect()) == ["7", "8", "common"]
     top_down = firsts._jdf.queryExecution().executedPlan().toString().split("rangepartitioning")[0]
     assert "HashAggregate(keys=[v" in top_down[top_down.rindex("Sort ["):]  # values are told apart below the sort
+
+
+def test_texts_of_a_common_piece_are_dealt_out(spark):
+    names = [f"Clerk {k}" for k in range(40)] + ["clerk", "Clark 7", None]
+    rules = [(k, rf"(?i)^clerk 0*{k}$", f"C{k}", str(k)) for k in range(0, 40, 3)] + [(99, "(?i)^clerk", "another", "clerk")]
+    found = standardize.expand_by_table(frame(spark, names), "name", spark.createDataFrame(rules, "ord long, pattern string, full string, fragment string"), common=4)
+    expected = [f"C{k}" if k % 3 == 0 else "another" for k in range(40)] + ["another", "Clark 7", None]
+    assert sorted(map(str, (r.name for r in found.collect()))) == sorted(map(str, expected))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[piece#\d+, _part#\d+\]", plan) and "wanted" in plan
