@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,16 +57,18 @@ def merge(
     had = layout(spark, path)
     if had not in (None, buckets):
         raise ValueError(f"the table has {had} buckets, not {buckets}")
-    load.require(batch, not_null, unique=None)
-    rows = written(load.one_per_key(batch, key, order, last=update).withColumn("bucket", bucket_of(F.col(key), buckets)), "incoming")
+    nulls, new = Observation(), Observation()
+    checked = batch.observe(nulls, *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in not_null)) if not_null else batch
+    rows = written(load.one_per_key(checked, key, order, last=update).withColumn("bucket", bucket_of(F.col(key), buckets)), "incoming")
+    load.refuse(nulls.get if not_null else {})
     touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # a number for each bucket
     old = read_buckets(spark, path, schema, touched)
-    fresh = rows.join(old.select(key), key, "left_anti").drop("bucket", number)
-    added = written(load.with_surrogate(read_buckets(spark, path, schema).select(number), fresh, order).drop(order), "added")
+    fresh = rows.join(old.select(key).hint("merge"), key, "left_anti").drop("bucket", number)  # files' sizes say little about compressed keys
+    added = load.with_surrogate(read_buckets(spark, path, schema).select(number), fresh, order).drop(order).observe(new, F.count(F.lit(1)).alias("n"))
     kept = load.replaced(old, rows.drop("bucket", order), key, keep=(number,)) if update else old
     both = kept.unionByName(spark.createDataFrame([], schema).unionByName(added, allowMissingColumns=True).select(*schema.fieldNames()))
     placed = both.withColumns({"of": F.lit(buckets), "bucket": bucket_of(F.col(key), buckets)}).hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
-    if touched:
-        written(placed, "merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
-    counts = rows.agg(F.count("*").alias("stored")).crossJoin(added.agg(F.count("*").alias("added")))  # one row each
-    return counts.withColumn("buckets", F.lit(len(touched)))
+    if not touched:
+        return spark.createDataFrame([(0, 0, 0)], "stored long, added long, buckets int")
+    written(placed, "merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
+    return rows.agg(F.count("*").alias("stored")).select("stored", F.lit(new.get["n"]).cast("long").alias("added"), F.lit(len(touched)).alias("buckets"))

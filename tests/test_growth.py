@@ -7,7 +7,7 @@ import pytest
 
 from fieldmill.operators import extract, load, standardize
 from fieldmill.plans.queries import APPLICANT
-from fieldmill.sources import records
+from fieldmill.sources import buckets, records
 from fieldmill.sources.shared import folder, written
 from fieldmill.streaming.ingest import pull
 
@@ -90,3 +90,16 @@ def test_texts_of_a_common_piece_are_dealt_out(spark):
     assert sorted(map(str, (r.name for r in found.collect()))) == sorted(map(str, expected))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[piece#\d+, _part#\d+\]", plan) and "wanted" in plan
+
+
+def test_stored_batch_is_computed_once(spark):
+    seen, at = spark.sparkContext.accumulator(0), folder(spark)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    batch = spark.range(30).selectExpr("concat('u', id) as url", "'p' as program", "id as pos").mapInPandas(counted, "url string, program string, pos long")
+    first = buckets.merge(batch, at, APPLICANT, buckets=4).first()
+    assert (first.stored, first.added, seen.value) == (30, 30, 30)
