@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     whole, weights_of_all = table.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1))).first()
     left, weight, stopped = whole, weights_of_all, 0
     while True:  # one row to the driver each time
-        above = limit * weight < F.lit(left) * F.col("weight")
+        above = limit * weight < F.lit(left).cast("long") * F.col("weight")  # the words of a corpus may fit an int, times a weight not
         n, given, held = table.filter(above).agg(F.count("*"), F.coalesce(F.sum(limit), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
         if n == stopped:
             break

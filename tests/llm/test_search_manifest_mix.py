@@ -216,6 +216,14 @@ def test_mix(spark, weights, most):
     assert sorted(map(str, again.collect())) == sorted(map(str, mixing.by_document(mixed).collect()))
 
 
+def test_targets_of_more_words_than_an_int_holds(spark):
+    """The words of a large corpus times a weight are more than 32 bits hold, also where the words alone are not."""
+    for sizes in ({"a": 300_000_000, "b": 200_000_000, "c": 90_000_000}, {"a": 10**12, "b": 10**9, None: 5}):
+        rows = [(f":{s}" if s else "-", s, n) for s, n in sizes.items()]
+        got = mixing.targets(spark.createDataFrame(rows, "source_key string, source string, source_size long"), (5, 2, 1), 3).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(water(sizes, (5, 2, 1), 3))
+
+
 def test_positions_follow_the_schedule(spark):
     """Up to any time, a source has had what its shares integrate to, in words; shares add up to one."""
     docs = [(k, "w " * (1 + k % 9), None, "abcd"[min(3, k % 7)]) for k in range(3000)]
