@@ -4,8 +4,10 @@ import difflib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldmill.operators import extract, load, standardize
+from fieldmill.operators import clean, extract, load, standardize
+from fieldmill.plans import pull as plan
 from fieldmill.plans.queries import APPLICANT
 from fieldmill.sources import buckets, records
 from fieldmill.sources.shared import folder, written
@@ -103,3 +105,31 @@ def test_stored_batch_is_computed_once(spark):
     batch = spark.range(30).selectExpr("concat('u', id) as url", "'p' as program", "id as pos").mapInPandas(counted, "url string, program string, pos long")
     first = buckets.merge(batch, at, APPLICANT, buckets=4).first()
     assert (first.stored, first.added, seen.value) == (30, 30, 30)
+
+
+def test_pages_whose_entries_are_known_are_not_parsed(spark, monkeypatch):
+    row = lambda i, school, program="Physics PhD": f'<tr><td>{school}</td><td>{program}</td><td>Feb 1, 2026</td><td>Accepted on 1 Feb</td><td><A HREF=/RESULT/{i}>x</a></td></tr>'
+    rows = [(1, row(1, "First") + row(2, "Second")), (2, row(2, "Late") + row(1, "Late")), (3, "<p>captcha</p>" + row(9, "Blocked"))]
+    pages = lambda *more: written(spark.createDataFrame([(k, "u", f"<table>{h}</table>") for k, h in [*rows, *more]], "page_no long, url string, html string"))
+    at = folder(spark)
+    table = lambda: records.read_table(spark, at, APPLICANT)
+    add = lambda p, name: records.append_batch(plan.pull(table(), p).select(*APPLICANT.fieldNames()), at, name)
+    add(pages(), "one")
+    parsed, parse = [], extract.survey_rows
+
+    def seen(df, *a, **k):
+        parsed.append(sorted(str(r.page_no) for r in df.collect()))
+        return parse(df, *a, **k)
+
+    monkeypatch.setattr(extract, "survey_rows", seen)
+    add(pages(), "two")
+    assert sorted((r.p_id, r.llm_generated_university) for r in table().collect()) == [(1, "First"), (2, "Second")] and not any(parsed)
+    add(pages((4, row(2, "Known") + row(3, "New")), (5, '<a href="/result/77">no row</a>'), (None, row(4, "No number"))), "three")
+    assert sorted((r.p_id, r.llm_generated_university) for r in table().collect()) == [(1, "First"), (2, "Second"), (3, "New"), (4, "No Number")] and len(parsed) == 2
+
+
+def test_code_of_a_cleaned_row_is_small_enough_to_be_compiled(spark):
+    """The JVM compiles no method of more than 8000 bytes."""
+    raw = spark.range(3).select("id", *(F.concat(F.col("id").cast("string"), F.lit("  x\t")).alias(c) for c in (*(f"raw_{c}_text" for c in ("school", "program", "added_on", "decision", "meta", "comment")), "url")))
+    stages = clean.clean_records(raw, ("id",))._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
