@@ -133,3 +133,22 @@ def test_code_of_a_cleaned_row_is_small_enough_to_be_compiled(spark):
     raw = spark.range(3).select("id", *(F.concat(F.col("id").cast("string"), F.lit("  x\t")).alias(c) for c in (*(f"raw_{c}_text" for c in ("school", "program", "added_on", "decision", "meta", "comment")), "url")))
     stages = clean.clean_records(raw, ("id",))._jdf.queryExecution().debug().codegenToSeq()
     assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+
+
+def test_entries_of_a_batch_are_written_once_before_they_are_cleaned(spark, monkeypatch):
+    from fieldmill.streaming import ingest
+
+    names, write = [], ingest.written
+
+    def seen(df, name="table"):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(ingest, "written", seen)
+    row = lambda i: f'<tr><td>School</td><td>Physics PhD</td><td>Feb 1, 2026</td><td>Accepted on 1 Feb</td><td><a href="/result/{i}">x</a></td></tr>'
+    at, landed = folder(spark), folder(spark)
+    kind = "page_no long, url string, html string"
+    spark.createDataFrame([(k, "u", f"<table>{row(k % 3)}{row(k % 2)}</table>") for k in range(6)], kind).coalesce(1).write.parquet(landed)
+    pull(spark.readStream.schema(kind).parquet(landed), at, APPLICANT, folder(spark)).awaitTermination()
+    assert names == ["entries", "added"]
+    assert [(r.entries, r.inserted, r.after) for r in spark.read.parquet(f"{at}.batches").collect()] == [(3, 3, 0)]
